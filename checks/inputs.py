@@ -87,7 +87,8 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rdf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.expr(RDF_NAME).alias("file_name"), F.expr(RDF).alias("xml"))
+    rows = texts(spark, sf_dir, "lang", "source", "n_chars")
+    return rows.select(F.expr(RDF_NAME).alias("file_name"), F.expr(RDF).alias("xml"))
 
 
 def editions_sql(copies: int = 3) -> str:

@@ -166,6 +166,7 @@ def _sql() -> dict[str, str]:
     sql["idf_given_total"] = f"with {WEIGHTS} select term, df, round(log2(1e6 / df), 6) as idf from df"
     sql["normalised_tf"] = f"with {WEIGHTS} select doc_id, term, n, round(tf, 6) as tf from tf"
     sql["tfidf"] = f"with {WEIGHTS} select doc_id, term, round(tfidf, 6) as tfidf from tfidf"
+    sql["tfidf_large_vocabulary"] = sql["tfidf"]
     sql["tf_by_word"] = f"with {WEIGHTS} select term, count(*) as n_docs, round(sum(tf), 6) as tf_sum from tf group by term"
     sql["tfidf_top_terms"] = f"""with {WEIGHTS} select doc_id, term, rank, round(tfidf, 6) as tfidf from (
         select *, cast(row_number() over (partition by doc_id order by tfidf desc, term) as integer) as rank

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from checks import inputs
 from tomewright import fixed_values as fv
 from tomewright.functions import header as h
 from tomewright.functions.latin import to_ascii
-from tomewright.operators import extract, sampling, subjects
+from tomewright.operators import extract, learn, sampling, subjects
 from tomewright.operators import postings as index
 from tomewright.operators import profiles as pf
 from tomewright.operators import vectors as vec
@@ -190,6 +191,13 @@ def tfidf(spark, sf):
     return rounded(wt.tfidf(staged_profile(spark, sf)), "tfidf").select("doc_id", "term", "tfidf")
 
 
+@query
+def tfidf_large_vocabulary(spark, sf):
+    """The join for a vocabulary too large to broadcast; forced here by a limit of no bytes."""
+    weighed = wt.tfidf(staged_profile(spark, sf), broadcast_bytes=0)
+    return rounded(weighed, "tfidf").select("doc_id", "term", "tfidf")
+
+
 @query
 def tfidf_top_terms(spark, sf):
     best = wt.top_terms(wt.tfidf(staged_profile(spark, sf)), 5)
@@ -391,15 +399,20 @@ def subject_labels(spark, sf):
 def _write_each(df: DataFrame, content: str) -> str:
     """One text file per document, in a folder of its own."""
     path = artifacts.new_path(df.sparkSession, "files")
-    df.select("name", content).repartition("name").write.partitionBy("name").text(path)
+    df.select("name", content).write.partitionBy("name").text(path)
     return path
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def _written_books(spark, sf):
-    named = inputs.books(spark, sf).select(
-        F.regexp_extract("file_name", "^([0-9]+)", 1).alias("name"), "content"
-    )
-    return _write_each(named, "content")
+    """Files of all books; written once per application."""
+    place = (spark.sparkContext.applicationId, sf)
+    if place not in _WRITTEN:
+        name = F.regexp_extract("file_name", "^([0-9]+)", 1).alias("name")
+        _WRITTEN[place] = _write_each(inputs.books(spark, sf).select(name, "content"), "content")
+    return _WRITTEN[place]
 
 
 def _name_in(path: str):
@@ -450,3 +463,55 @@ def drawn_counts(spark, sf):
 @query
 def first_counts(spark, sf):
     return sampling.first_rows(term_counts(spark, sf), 20, F.desc("n"), "doc_id", "term")
+
+
+# --- learning: no SQL twin ---------------------------------------------------------
+
+SMALL = 1000
+
+
+def _vectors(spark, sf, *parts: int) -> DataFrame:
+    cells = vec.hash_cells(staged_profile(spark, sf), parts if len(parts) > 1 else parts[0])
+    return vec.feature_vectors(cells, sum(parts))
+
+
+@query
+def subject_classifiers(spark, sf):
+    """Naive Bayes, tree and logistic regression with one setting, for the ten top subjects."""
+    rows, names = learn.labelled(_vectors(spark, sf, SMALL), artifacts.staged(_metadata(spark, sf), "metadata"))
+    methods = [
+        learn.naive_bayes(),
+        learn.Method("decision_tree", DecisionTreeClassifier(seed=0)),
+        learn.Method("logistic_regression", LogisticRegression(maxIter=10, regParam=0.01)),
+    ]
+    return learn.subject_errors(rows, names, methods)
+
+
+@query
+def cross_validated_errors(spark, sf):
+    rows, names = learn.labelled(
+        _vectors(spark, sf, SMALL), artifacts.staged(_metadata(spark, sf), "metadata"), folds=2
+    )
+    methods = [learn.decision_tree((2, 5)), learn.logistic_regression((0.01, 0.1))]
+    return learn.subject_errors(rows, names, methods, folds=2)
+
+
+@query
+def vector_size_errors(spark, sf):
+    sizes = {f"size {size}": _vectors(spark, sf, size) for size in (100, 1000, 10_000)}
+    return learn.compare_features(
+        sizes, artifacts.staged(_metadata(spark, sf), "metadata"), [learn.naive_bayes()]
+    )
+
+
+@query
+def double_hash_errors(spark, sf):
+    pair = {"single": _vectors(spark, sf, SMALL), "double": _vectors(spark, sf, *vec.double_hash_sizes(SMALL))}
+    return learn.compare_features(pair, artifacts.staged(_metadata(spark, sf), "metadata"), [learn.naive_bayes()])
+
+
+@query
+def birth_year_errors(spark, sf):
+    return learn.birth_year_regression(
+        _vectors(spark, sf, SMALL), artifacts.staged(_metadata(spark, sf), "metadata")
+    )

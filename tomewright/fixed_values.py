@@ -28,7 +28,7 @@ RANK_OTHER = 1
 
 # Separators.
 UNICODE_SEPARATOR = r"[^\p{L}\p{N}_]+"
-ASCII_SEPARATOR = r"[^0-9A-Za-z_]+"
+ASCII_SEPARATOR = r"\W+"
 LINE_SEPARATOR = "\r\n|\n|\r"
 
 # Weighting and feature hashing.

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomewright import fixed_values as fv
-from tomewright.operators.profiles import term_counts
 from tomewright.sources.artifacts import staged
 
-# Terms are called hot if they hold at least this share of all rows.  There
-# cannot be more than 1 / HOT_SHARE of them, and a hot term is short, which
-# bounds what is broadcast to some ten MB whatever the size of the data.
+# A vocabulary estimated to need no more memory than this is broadcast whole.
+BROADCAST_BYTES = 64 << 20
+ROW_OVERHEAD = 120
+# In a larger one, terms that hold at least this share of all rows are called hot.
+# There cannot be more than 1 / HOT_SHARE of them, and a hot term is short, which
+# bounds their broadcast to some ten MB whatever the size of the data.
 HOT_SHARE = 1 / 50_000
 HOT_TERM_LENGTH = 64
 
@@ -48,27 +50,36 @@ def term_frequency(profile: DataFrame, key: str = "doc_id", smoothing: float = f
     )
 
 
-def with_vocabulary(rows: DataFrame, words: DataFrame) -> DataFrame:
+def with_vocabulary(rows: DataFrame, words: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Inner join of ``rows`` with ``words(term, df, ...)`` on ``term``.
 
     ``words`` is a written table in which ``df`` is the number of rows of a term.
-    Hot terms, which hold most rows of a text collection, meet a broadcast of
-    provably bounded size and do not move; the rest is joined by shuffle, where
-    no term is left that could overload a task.
+    Its size is measured first, and a small one is broadcast.  Otherwise only the
+    hot terms are, which hold most rows of a text collection: those rows do not
+    move.  The rest is joined by shuffle, where no term is left that could
+    overload a task.
     """
-    total = words.agg(F.sum("df")).scalar()
-    is_hot = (F.col("df") >= total * F.lit(HOT_SHARE)) & (F.length("term") <= HOT_TERM_LENGTH)
+    size = words.agg(
+        F.count("*").alias("words"), F.sum(F.octet_length("term")).alias("bytes"), F.sum("df").alias("rows")
+    ).first()
+    if (size.bytes or 0) + size.words * ROW_OVERHEAD <= broadcast_bytes:
+        return rows.join(F.broadcast(words), "term")
+    is_hot = (F.col("df") >= size.rows * HOT_SHARE) & (F.length("term") <= HOT_TERM_LENGTH)
     hot = words.where(is_hot)
     rare = rows.join(F.broadcast(hot.select("term")), "term", "left_anti")
     return rows.join(F.broadcast(hot), "term").unionByName(rare.join(words.where(~is_hot), "term"))
 
 
 def tfidf(
-    profile: DataFrame, key: str = "doc_id", smoothing: float = fv.TF_SMOOTHING, n_docs: int | None = None
+    profile: DataFrame,
+    key: str = "doc_id",
+    smoothing: float = fv.TF_SMOOTHING,
+    n_docs: int | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``key, term, tf, idf, tfidf``.  ``profile`` should be a staged table."""
     words = staged(vocabulary(profile, n_docs), "vocabulary")
-    weighed = with_vocabulary(term_frequency(profile, key, smoothing), words)
+    weighed = with_vocabulary(term_frequency(profile, key, smoothing), words, broadcast_bytes)
     return weighed.select(key, "term", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tfidf"))
 
 
