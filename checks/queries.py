@@ -490,7 +490,7 @@ def subject_classifiers(spark, sf):
 @query
 def cross_validated_errors(spark, sf):
     rows, names = learn.labelled(
-        _vectors(spark, sf, SMALL), artifacts.staged(_metadata(spark, sf), "metadata"), folds=2
+        _vectors(spark, sf, 250), artifacts.staged(_metadata(spark, sf), "metadata"), folds=2
     )
     methods = [learn.decision_tree((2, 5)), learn.logistic_regression((0.01, 0.1))]
     return learn.subject_errors(rows, names, methods, folds=2)
