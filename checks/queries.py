@@ -240,7 +240,7 @@ def vector_size_cells(spark, sf):
 
 @query
 def feature_vectors(spark, sf):
-    cells = rounded(vec.hash_cells(staged_profile(spark, sf)), "value")
+    cells = rounded(vec.hash_cells(staged_profile(spark, sf), by_document=True), "value")
     dense = vec.feature_vectors(cells).select("doc_id", vector_to_array("features").alias("v"))
     total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
     return dense.select(
@@ -471,7 +471,7 @@ SMALL = 1000
 
 
 def _vectors(spark, sf, *parts: int) -> DataFrame:
-    cells = vec.hash_cells(staged_profile(spark, sf), parts if len(parts) > 1 else parts[0])
+    cells = vec.hash_cells(staged_profile(spark, sf), parts if len(parts) > 1 else parts[0], by_document=True)
     return vec.feature_vectors(cells, sum(parts))
 
 

@@ -120,6 +120,18 @@ def test_read_or_build_builds_once_and_again_after_an_interrupted_write(spark, t
     assert artifacts.kept(spark.range(2)).count() == 2
 
 
+def test_temporary_tables_are_deleted_after_use(spark, tmp_path):
+    made = []
+
+    def build():
+        made.append(artifacts.stage(spark.range(5), "numbers"))
+        return artifacts.load(spark, made[0])
+
+    before = artifacts.stage(spark.range(1), "kept")
+    assert artifacts.read_or_build(spark, str(tmp_path / "out"), build).count() == 5
+    assert not artifacts.is_complete(spark, made[0]) and artifacts.is_complete(spark, before)
+
+
 def test_shared_folder_is_the_configured_one(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:

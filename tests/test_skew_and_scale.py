@@ -116,6 +116,9 @@ def test_vectors(spark, profile):
     vectors = vec.feature_vectors(cells, 50)
     assert dict(vectors.dtypes)["features"] == "vector"
     got = {r.doc_id: list(r.features.toArray()) for r in vectors.collect()}
+    again = vec.feature_vectors(vec.hash_cells(profile, 50, by_document=True), 50)
+    for r in again.collect():
+        assert list(r.features.toArray()) == pytest.approx(got[r.doc_id])
     assert got == dict(want) and len(got) == 200
     assert vec.hash_cells(profile, 0).where("bucket <> 0").count() == 0
 
@@ -171,6 +174,11 @@ def test_no_plan_has_a_cross_join_or_python(spark, profile):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan, plan
 
 
+def test_vectors_by_document_take_one_shuffle(spark, profile):
+    plan = plan_of(vec.vector_rows(vec.hash_cells(profile, by_document=True)))
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
 def test_column_pruning_reaches_the_scan(spark, profile):
     assert "ReadSchema: struct<terms:array<struct<term:string>>>" in plan_of(wt.document_frequency(profile))
     assert "ReadSchema: struct<>" in plan_of(wt.document_count(profile))

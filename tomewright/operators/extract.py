@@ -40,7 +40,6 @@ def documents(files: DataFrame, rules: h.HeaderRules | None = None) -> DataFrame
     if rules:
         books = books.where(rules.keeps(F.col("header")))
     declared = h.charset(F.col("header"))
-    body = h.without_footer(F.col("body"))
     rank = h.charset_rank(declared)
     foreign = declared.isNotNull() & (rank == fv.RANK_OTHER)
     return with_id_only(
@@ -48,7 +47,9 @@ def documents(files: DataFrame, rules: h.HeaderRules | None = None) -> DataFrame
             "path",
             h.canonical_id(h.book_id(F.col("header"))).alias("doc_id"),
             rank.alias("enc_rank"),
-            F.when(foreign, to_ascii(body)).otherwise(body).alias("body"),
+            bound(
+                h.without_footer(F.col("body")), lambda body: F.when(foreign, to_ascii(body)).otherwise(body)
+            ).alias("body"),
         )
     )
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from tomewright import fixed_values as fv
 from tomewright.functions import hashing
 from tomewright.operators.weights import term_frequency, vocabulary, with_vocabulary
-from tomewright.sources.artifacts import new_path, staged, store
+from tomewright.sources.artifacts import stage, staged
 
 
 def hash_cells(
@@ -21,6 +21,7 @@ def hash_cells(
     key: str = "doc_id",
     smoothing: float = fv.TF_SMOOTHING,
     n_docs: int | None = None,
+    by_document: bool = False,
 ) -> DataFrame:
     """``key, bucket, value``: absolute value of the signed TF.IDF sum of each bucket.
 
@@ -28,6 +29,11 @@ def hash_cells(
     term falls into one bucket of each part (double hashing).  Bucket and sign
     depend on the term only, so they are computed once per vocabulary entry, not
     once per document and term.  ``profile`` should be a staged table.
+
+    Cells are summed partially before the shuffle.  With ``by_document`` the
+    terms are shuffled by ``key`` instead, which the later grouping of cells to
+    vectors reuses: one shuffle less, and no more in one task than the terms of
+    a document, which came out of one row.
     """
     sizes = [parts] if isinstance(parts, int) else list(parts)
     places = [hashing.bucket(F.col("term"), size) + sum(sizes[:i]) for i, size in enumerate(sizes)]
@@ -41,6 +47,8 @@ def hash_cells(
         cells = rows.select(key, F.col("buckets")[0].alias("bucket"), value)
     else:
         cells = rows.select(key, F.explode("buckets").alias("bucket"), value)
+    if by_document:
+        cells = cells.repartition(key)
     return cells.groupBy(key, "bucket").agg(F.abs(F.sum("value")).alias("value"))
 
 
@@ -50,19 +58,15 @@ def double_hash_sizes(size: int = fv.VECTOR_SIZE) -> tuple[int, int]:
     return (half - 1, size - half + 1) if size % 2 == 0 else (half, half + 1)
 
 
-def feature_vectors(
-    cells: DataFrame, size: int = fv.VECTOR_SIZE, key: str = "doc_id", path: str | None = None
-) -> DataFrame:
-    """``key, features`` with one sparse MLlib vector per document.
+def vector_rows(cells: DataFrame, size: int = fv.VECTOR_SIZE, key: str = "doc_id") -> DataFrame:
+    """``key, features`` in the storage layout of a sparse MLlib vector.
 
-    The rows are written in the layout of the vector type and read back as that
-    type, which keeps the conversion inside the JVM; training iterates over the
-    written table.  A group has at most ``size`` cells.
+    A group has at most ``size`` cells.  Zero cells are left out of the vector,
+    but only after the grouping: a document of zeros keeps its row.
     """
     grouped = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("bucket", "value"))).alias("cells"))
-    # Zero cells go after the grouping: a document of zeros keeps its row.
-    grouped = grouped.withColumn("cells", F.filter("cells", lambda c: c["value"] != 0))
-    rows = grouped.select(
+    filled = F.filter("cells", lambda c: c["value"] != 0)
+    return grouped.select(key, filled.alias("cells")).select(
         key,
         F.struct(
             F.lit(0).cast("tinyint").alias("type"),
@@ -71,13 +75,20 @@ def feature_vectors(
             F.col("cells.value").alias("values"),
         ).alias("features"),
     )
-    spark = cells.sparkSession
-    path = store(rows, path or new_path(spark, "vectors"))
-    return load_vectors(spark, path, key, rows.schema[key])
 
 
-def load_vectors(spark, path: str, key: str = "doc_id", key_field: StructField | None = None) -> DataFrame:
-    """Vectors stored by ``feature_vectors``."""
-    key_field = key_field or spark.read.parquet(path).schema[key]
+def load_vectors(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
+    """Stored ``vector_rows`` as ``key, features`` with MLlib vectors."""
+    key_field = spark.read.parquet(path).schema[key]
     schema = StructType([key_field, StructField("features", VectorUDT())])
     return spark.read.schema(schema).parquet(path)
+
+
+def feature_vectors(cells: DataFrame, size: int = fv.VECTOR_SIZE, key: str = "doc_id") -> DataFrame:
+    """``key, features`` with one sparse MLlib vector per document.
+
+    The rows are written in the layout of the vector type and read back as that
+    type, which keeps the conversion inside the JVM; training iterates over the
+    written table.
+    """
+    return load_vectors(cells.sparkSession, stage(vector_rows(cells, size, key), "vectors"), key)

@@ -16,7 +16,7 @@ from tomewright.functions.header import HeaderRules
 from tomewright.operators import extract
 from tomewright.operators.postings import posting_lists, postings
 from tomewright.operators.profiles import merged, nested, profiles
-from tomewright.operators.vectors import feature_vectors, hash_cells
+from tomewright.operators.vectors import hash_cells, load_vectors, vector_rows
 from tomewright.sources import files as src
 from tomewright.sources.artifacts import read_or_build, staged
 from tomewright.sources.metadata import metadata_files
@@ -83,9 +83,10 @@ def book_vectors(
             found, rules, stop, transliterate
         )
         total = size if isinstance(size, int) else sum(size)
-        return feature_vectors(hash_cells(profile, size, n_docs=n_docs), total)
+        return vector_rows(hash_cells(profile, size, n_docs=n_docs, by_document=True), total)
 
-    return read_or_build(spark, out, build)
+    read_or_build(spark, out, build)
+    return load_vectors(spark, out)
 
 
 def book_metadata(spark: SparkSession, path: str, out: str) -> DataFrame:

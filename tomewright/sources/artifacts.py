@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: list[str] = []
+_staged: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,8 +53,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     executor costs a re-read instead of a recomputation, and the planner sees
     the table's real size when it decides about broadcasting.
     """
+    return df.sparkSession.read.schema(df.schema).parquet(stage(df, name))
+
+
+def stage(df: DataFrame, name: str) -> str:
+    """Write ``df`` to the shared folder and return the path."""
     path = store(df, new_path(df.sparkSession, name))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _staged.append(path)
+    return path
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that were staged inside the block when it ends.
+
+    For results that have been written by then; a DataFrame that still reads a
+    staged table must not leave the block.
+    """
+    before = len(_staged)
+    try:
+        yield
+    finally:
+        while len(_staged) > before:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def is_complete(spark: SparkSession, path: str) -> bool:
@@ -65,9 +89,11 @@ def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
     """Load a finished artifact, or build and store it first.
 
     The leftovers of an interrupted write carry no marker and are replaced.
+    Tables that ``build`` stages are deleted once the artifact is complete.
     """
     if not is_complete(spark, path):
-        store(build(), path, mode="overwrite")
+        with temporary_tables(spark):
+            store(build(), path, mode="overwrite")
     return load(spark, path)
 
 
