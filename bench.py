@@ -20,6 +20,7 @@ HEADLINE = [
     "posting_lists",
     "hash_cells",
     "double_hash_cells",
+    "feature_vectors",
     "book_documents_by_rules",
     "best_edition",
     "edition_profiles",

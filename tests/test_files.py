@@ -1,5 +1,7 @@
 """Sources and pipelines on real files."""
 
+import uuid
+
 import pytest
 
 from tests.test_pins import book
@@ -140,7 +142,7 @@ def test_shared_folder_is_the_configured_one(spark):
 
 
 def jobs_of(spark, action):
-    group = f"group-{id(action)}"
+    group = uuid.uuid4().hex
     spark.sparkContext.setJobGroup(group, "")
     action()
     return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
@@ -181,6 +183,25 @@ def test_book_vectors_end_to_end(spark, tree):
     assert {r.doc_id for r in lines.collect()} == {"1", "2"} and lines.first().features.size == 64
 
 
+def test_stored_books_resume_by_folder(spark, tree):
+    tree("b/1.txt", book(number=1))
+    root = tree("a/2.txt", book(number=2, body="longer text"))
+    folders, out = [f"{root}/a", f"{root}/b"], str(tree.root / "stored")
+    assert pipelines.stored_books(spark, folders[:1], out).count() == 1
+    stored = pipelines.stored_books(spark, folders, out)
+    assert {r.file_name for r in stored.collect()} == {"1.txt", "2.txt"}
+    largest = stored.agg({"file_size": "max"}).first()[0]
+    for limit, ids in ((None, {"1", "2"}), (largest, {"1"})):
+        vectors = pipelines.book_vectors(spark, stored, str(tree.root / f"vectors-{limit}"), smaller_than=limit)
+        assert {r.doc_id for r in vectors.collect()} == ids
+
+
+def test_size_limit_reaches_the_scan(spark, tree):
+    root = tree("three.txt", "123")
+    files = src.book_files(spark, root).where("file_size < 3")
+    assert files.rdd.getNumPartitions() == 0
+
+
 def test_an_edition_without_terms_still_wins(spark):
     rows = [("a", book(number=1, charset="UTF-8", body="...")), ("b", book(number=1, charset="ASCII", body="words"))]
     files = spark.createDataFrame(rows, "path string, content string")

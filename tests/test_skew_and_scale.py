@@ -54,6 +54,21 @@ def test_posting_blocks_lose_nothing(spark, profile):
     assert rows(again, "term", "df", "doc_id", "n") == rows(tidy, "term", "df", "doc_id", "n")
 
 
+def test_merged_postings_of_a_name_shared_by_a_third_of_the_files(spark):
+    files = spark.createDataFrame(
+        [(i, "shared" if i % 3 == 0 else f"f{i}", f"common w{i}") for i in range(90)], "path int, name string, text string"
+    )
+    counts = staged(pf.merged(pf.profiles(files, "path", carry=["name"]), "name"), "counts")
+    found = {(r.term, r.name): (r.df, r.n) for r in index.merged_postings(counts, "name").collect()}
+    assert len(found) == 61 + 90
+    assert found["common", "shared"] == (61, 30) and found["w3", "shared"] == (1, 1)
+
+
+def test_top_terms_are_cut_before_the_shuffle(spark, profile):
+    plan = plan_of(wt.top_terms(wt.tfidf(profile), 5))
+    assert plan.count("WindowGroupLimit") == 2, plan
+
+
 def test_editions_of_one_book_in_a_third_of_all_rows(spark):
     made = [(f"p{i:04}", "hot" if i % 3 == 0 else f"d{i}", i % 7, f"b{i}") for i in range(900)]
     random.Random(1).shuffle(made)

@@ -15,8 +15,20 @@ BLOCK = 10_000
 
 def postings(profile: DataFrame, key: str = "doc_id") -> DataFrame:
     """Tidy index ``term, df, key, n``: one row per term and document."""
-    words = staged(document_frequency(profile), "document_frequency")
-    return with_vocabulary(term_counts(profile, key), words).select("term", "df", key, "n")
+    return _indexed(term_counts(profile, key), document_frequency(profile), key)
+
+
+def merged_postings(counts: DataFrame, key: str) -> DataFrame:
+    """``postings`` from tidy counts ``key, term, n``, which should be a staged table.
+
+    For keys that several rows share: their terms are never gathered in one row.
+    """
+    return _indexed(counts, counts.groupBy("term").agg(F.count("*").alias("df")), key)
+
+
+def _indexed(counts: DataFrame, frequency: DataFrame, key: str) -> DataFrame:
+    words = staged(frequency, "document_frequency")
+    return with_vocabulary(counts, words).select("term", "df", key, "n")
 
 
 def posting_lists(index: DataFrame, key: str = "doc_id", block: int = BLOCK) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tomewright import fixed_values as fv
 from tomewright.functions.header import HeaderRules
 from tomewright.operators import extract
-from tomewright.operators.postings import posting_lists, postings
-from tomewright.operators.profiles import merged, nested, profiles
+from tomewright.operators.postings import merged_postings, posting_lists
+from tomewright.operators.profiles import merged, profiles
 from tomewright.operators.vectors import hash_cells, load_vectors, vector_rows
 from tomewright.sources import files as src
 from tomewright.sources.artifacts import read_or_build, staged
@@ -24,6 +24,18 @@ from tomewright.sources.metadata import metadata_files
 StopWords = Sequence[str] | DataFrame | None
 
 
+def stored_books(spark: SparkSession, folders: Sequence[str], out: str) -> DataFrame:
+    """Book files of some folders as one Parquet dataset at ``out``, for repeated use.
+
+    Every folder is listed and stored on its own, so the driver never holds the
+    listing of a whole collection of small files, and a second call goes on with
+    the folders that are not complete.
+    """
+    for place, folder in enumerate(folders):
+        read_or_build(spark, f"{out}/folder={place}", lambda folder=folder: src.book_files(spark, folder))
+    return spark.read.parquet(out).drop("folder")
+
+
 def book_profiles(
     files: DataFrame,
     rules: HeaderRules | None = None,
@@ -61,7 +73,7 @@ def _one_edition(docs, choose, carry, stop_words, transliterate) -> DataFrame:
 
 def book_vectors(
     spark: SparkSession,
-    text_path: str,
+    text: str | DataFrame,
     out: str,
     stop_path: str | None = None,
     rules: HeaderRules | None = None,
@@ -70,14 +82,17 @@ def book_vectors(
     n_docs: int | None = None,
     size: int | Sequence[int] = fv.VECTOR_SIZE,
 ) -> DataFrame:
-    """Hashed TF.IDF vectors of all books below ``text_path``, stored at ``out``.
+    """Hashed TF.IDF vectors of all books, stored at ``out``.
 
-    A finished result at ``out`` is loaded instead.  A size limit on the files
-    selects line-wise extraction.
+    ``text`` is a folder or the rows of ``stored_books``.  A finished result at
+    ``out`` is loaded instead.  A size limit on the files selects line-wise
+    extraction.
     """
 
     def build() -> DataFrame:
-        found = src.book_files(spark, text_path, smaller_than=smaller_than)
+        found = src.book_files(spark, text) if isinstance(text, str) else text
+        if smaller_than is not None:
+            found = found.where(F.col("file_size") < smaller_than)
         stop = src.stop_words(spark, stop_path) if stop_path else None
         profile = (line_book_profiles if smaller_than is not None else book_profiles)(
             found, rules, stop, transliterate
@@ -102,5 +117,5 @@ def file_index(files: DataFrame, stop_words: StopWords = None) -> DataFrame:
     counted = profiles(
         files, "path", "content", carry=["file_name"], ascii_only=True, stop_words=stop_words, stop_raw=False
     )
-    by_name = staged(nested(merged(counted, "file_name"), "file_name"), "profiles")
-    return posting_lists(postings(by_name, "file_name"), "file_name")
+    by_name = staged(merged(counted, "file_name"), "counts")
+    return posting_lists(merged_postings(by_name, "file_name"), "file_name")
