@@ -245,6 +245,10 @@ def _sql() -> dict[str, str]:
     sql["scanned_books"] = f"""with editions as ({inputs.editions_sql(1)}) select cast(doc_id as varchar) as doc_id,
         cast(octet_length(encode(content)) + 1 as bigint) as file_size, md5(content || chr(10)) as content_md5 from editions"""
     sql["small_scanned_books"] = f"select * from ({sql['scanned_books']}) where file_size < 2000"
+    latin = r"regexp_replace(content, '[^\x00-\xFF]', '?', 'g')"
+    sql["decoded_books"] = f"""with editions as ({inputs.editions_sql(1)}) select path, md5(
+        case when contains(content, 'Character set encoding: ISO-8859-1') then {latin} else content end) as content_md5
+        from editions"""
     sql["counted_files"] = "select count(*) as n_files from documents"
     sql["scanned_metadata"] = f"""with {METADATA} select ebook_id, birth_year, n_subjects from ({RECORDS_OUT})"""
     sql["stored_metadata"] = f"with {METADATA} {RECORDS_OUT}"

@@ -433,6 +433,17 @@ def small_scanned_books(spark, sf):
     return _scan_out(files.book_files(spark, _written_books(spark, sf), smaller_than=2000))
 
 
+@query
+def decoded_books(spark, sf):
+    """Bytes of books in the character set that each declares, decoded again."""
+    books = inputs.books(spark, sf)
+    latin = F.regexp_replace("content", r"[^\x00-\xFF]", "?")
+    declared = F.contains("content", F.lit("Character set encoding: ISO-8859-1"))
+    stored = F.when(declared, F.encode(latin, "ISO-8859-1")).otherwise(F.encode("content", "UTF-8"))
+    text = files.decoded(F.col("stored"))
+    return books.select("path", stored.alias("stored")).select("path", F.md5(text.cast("binary")).alias("content_md5"))
+
+
 @query
 def counted_files(spark, sf):
     return files.count_files(spark, _written_books(spark, sf) + "/name=*")

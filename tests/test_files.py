@@ -98,6 +98,8 @@ def test_last_description_that_says_something(spark):
     rows = spark.createDataFrame([("f", xml)], "file_name string, xml string")
     record = metadata.metadata_of(rows).first()
     assert [tuple(s) for s in record.subjects] == [("B", "x")]
+    bare = spark.createDataFrame([("f", RDF.format("<pgterms:ebook><dcterms:creator/></pgterms:ebook>"))], "file_name string, xml string")
+    assert [(r.ebook_id, r.subjects) for r in metadata.metadata_of(bare).collect()] == [(None, [])]
     blank = spark.createDataFrame([("f", RDF.format(""))], "file_name string, xml string")
     assert metadata.metadata_of(blank).count() == 0
 

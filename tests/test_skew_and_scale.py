@@ -194,6 +194,25 @@ def test_vectors_by_document_take_one_shuffle(spark, profile):
     assert plan.count("Exchange hashpartitioning") == 1, plan
 
 
+def test_large_sides_are_sort_merged(spark, profile):
+    words = staged(wt.vocabulary(profile), "vocabulary")
+    docs = staged(extract.documents(inputs.editions(spark, SF)), "editions")
+    small = rows(extract.best_edition(docs), "path")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        split = wt.with_vocabulary(wt.term_frequency(profile), words, broadcast_bytes=0)
+        plan = plan_of(split)
+        # Hot terms by broadcast, the rest by shuffle.
+        assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 2, plan
+        plain = wt.term_frequency(profile).join(words, "term")
+        assert rows(split, "doc_id", "term", "tf", "idf") == rows(plain, "doc_id", "term", "tf", "idf")
+        large = extract.best_edition(docs)
+        assert "SortMergeJoin" in plan_of(large)
+        assert rows(large, "path") == small
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_column_pruning_reaches_the_scan(spark, profile):
     assert "ReadSchema: struct<terms:array<struct<term:string>>>" in plan_of(wt.document_frequency(profile))
     assert "ReadSchema: struct<>" in plan_of(wt.document_count(profile))

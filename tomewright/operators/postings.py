@@ -44,6 +44,6 @@ def posting_lists(index: DataFrame, key: str = "doc_id", block: int = BLOCK) ->
         F.pmod(F.xxhash64(key), blocks).cast("int").alias("block"),
     )
     lists = spread.groupBy("term", "df", "blocks", "block").agg(
-        F.array_sort(F.collect_list("posting")).alias("postings")
+        F.sort_array(F.collect_list("posting")).alias("postings")
     )
     return lists.select("term", "df", "block", "blocks", "postings")

@@ -64,7 +64,7 @@ def profiles(
         head = distinct.limit(max_listed + 1).collect()
         if len(head) > max_listed:
             counted = _counts_by_join(
-                _with_max(docs, [key, *carry], w.runs(F.array_sort(raw))),
+                _with_max(docs, [key, *carry], w.runs(F.sort_array(raw))),
                 [key, *carry], staged(distinct, "stop_words"), stop_raw, ignore_case,
             )
             if min_term_len:
@@ -83,7 +83,7 @@ def profiles(
     terms = w.drop_listed(w.singulars(raw), listed)
     if min_term_len:
         terms = F.filter(terms, lambda t: F.length(t) >= min_term_len)
-    return _with_max(docs, [key, *carry], w.runs(F.array_sort(terms)), drop_empty)
+    return _with_max(docs, [key, *carry], w.runs(F.sort_array(terms)), drop_empty)
 
 
 def _with_max(rows: DataFrame, keep: Sequence[str], terms: Column, drop_empty: bool = True) -> DataFrame:
@@ -124,7 +124,7 @@ def term_counts(profile: DataFrame, key: str = "doc_id") -> DataFrame:
 def nested(counts: DataFrame, key: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
     """Tidy counts back to profiles.  A group is no larger than its document was."""
     return counts.groupBy(key, *carry).agg(
-        F.max("n").alias("max_n"), F.array_sort(F.collect_list(F.struct("term", "n"))).alias("terms")
+        F.max("n").alias("max_n"), F.sort_array(F.collect_list(F.struct("term", "n"))).alias("terms")
     )
 
 

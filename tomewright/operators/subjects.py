@@ -27,7 +27,7 @@ def subject_labels(docs: DataFrame, metadata: DataFrame, k: int = fv.TOP_SUBJECT
     one array value, so a document row turns into its labels where it is, and only
     they are gathered for each book.  Books without metadata have none of them.
     """
-    top = top_subjects(metadata, k).agg(F.array_sort(F.collect_list("subject"))).scalar()
+    top = top_subjects(metadata, k).agg(F.sort_array(F.collect_list("subject"))).scalar()
     listed = book_subjects(metadata).where(F.array_contains(top, F.col("subject")))
     own = listed.groupBy("ebook_id").agg(F.collect_list("subject").alias("own"))
     joined = docs.join(own.withColumnRenamed("ebook_id", key), key, "left")

@@ -64,7 +64,7 @@ def vector_rows(cells: DataFrame, size: int = fv.VECTOR_SIZE, key: str = "doc_id
     A group has at most ``size`` cells.  Zero cells are left out of the vector,
     but only after the grouping: a document of zeros keeps its row.
     """
-    grouped = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("bucket", "value"))).alias("cells"))
+    grouped = cells.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("bucket", "value"))).alias("cells"))
     filled = F.filter("cells", lambda c: c["value"] != 0)
     return grouped.select(key, filled.alias("cells")).select(
         key,

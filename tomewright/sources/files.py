@@ -67,9 +67,13 @@ def book_files_by_charset(
 
 def decoded(content: Column) -> Column:
     """Bytes of a book file as text."""
-    latin = F.decode(content, "ISO-8859-1")
-    name = F.upper(header.field(latin, fv.CHARSET_NAME_LINE))
-    return F.when(F.startswith(name, F.lit("ISO-8859-1")), latin).otherwise(F.make_valid_utf8(content.cast("string")))
+
+    def chosen(latin: Column) -> Column:
+        name = F.upper(header.field(latin, fv.CHARSET_NAME_LINE))
+        as_utf = F.make_valid_utf8(content.cast("string"))
+        return F.when(F.startswith(name, F.lit("ISO-8859-1")), latin).otherwise(as_utf)
+
+    return bound(F.decode(content, "ISO-8859-1"), chosen)
 
 
 def text_lines(content: Column) -> Column:

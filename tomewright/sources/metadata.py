@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tomewright import fixed_values as fv
-from tomewright.functions.binding import bound
+from tomewright.functions.binding import bound, rows_of
 
 EBOOK_TAG = "pgterms:ebook"
 EBOOK_FIELDS = """
@@ -39,10 +39,9 @@ def metadata_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def metadata_of(documents: DataFrame, xml: str = "xml", file_name: str = "file_name") -> DataFrame:
     """Metadata records of whole RDF documents held in a string column."""
     root = F.from_xml(F.col(xml), f"struct<`{EBOOK_TAG}`: array<struct<{EBOOK_FIELDS}>>>")
-    books = documents.select(F.col(file_name).alias("file_name"), F.inline_outer(root[EBOOK_TAG]))
-    # inline_outer keeps a row of nulls for a document without any e-book.
-    found = F.coalesce(F.col("`_rdf:about`"), F.col("`dcterms:subject`").cast("string"))
-    return books.where(found.isNotNull()).select("file_name", *_record())
+    books = F.transform(root[EBOOK_TAG], lambda b: F.struct(F.lit(True).alias("found"), b.alias("book")))
+    rows = rows_of(documents, books, F.col(file_name).alias("file_name"), required="found")
+    return rows.select("file_name", "book.*").select("file_name", *_record())
 
 
 def _record() -> list[Column]:
