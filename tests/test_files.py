@@ -119,6 +119,12 @@ def test_read_or_build_builds_once_and_again_after_an_interrupted_write(spark, t
     partial.mkdir()
     (partial / "part-0.parquet").write_bytes(b"half")
     assert artifacts.read_or_build(spark, str(partial), build).count() == 3
+    foreign = tmp_path / "foreign"
+    foreign.mkdir()
+    (foreign / "notes.txt").write_text("mine")
+    with pytest.raises(FileExistsError):
+        artifacts.read_or_build(spark, str(foreign), build)
+    assert (foreign / "notes.txt").read_text() == "mine" and len(calls) == 2
     with pytest.raises(Exception):
         artifacts.store(spark.range(1), path)
     assert artifacts.kept(spark.range(2)).count() == 2

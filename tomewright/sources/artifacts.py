@@ -6,12 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: list[str] = []
-_staged: list[str] = []
+# Paths staged inside the innermost ``temporary_tables`` block of this thread.
+_in_block: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -59,7 +61,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def stage(df: DataFrame, name: str) -> str:
     """Write ``df`` to the shared folder and return the path."""
     path = store(df, new_path(df.sparkSession, name))
-    _staged.append(path)
+    block = _in_block.get()
+    if block is not None:
+        block.append(path)
     return path
 
 
@@ -70,12 +74,14 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
     For results that have been written by then; a DataFrame that still reads a
     staged table must not leave the block.
     """
-    before = len(_staged)
+    paths: list[str] = []
+    outer = _in_block.set(paths)
     try:
         yield
     finally:
-        while len(_staged) > before:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        _in_block.reset(outer)
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
@@ -85,13 +91,25 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
+def _refuse_foreign_files(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(folder):
+        names = [status.getPath().getName() for status in system.listStatus(folder)]
+        foreign = [name for name in names if not name.startswith(("part-", "_", "."))]
+        if foreign:
+            raise FileExistsError(f"{path} holds other files than an interrupted write would leave: {foreign[:3]}")
+
+
 def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Load a finished artifact, or build and store it first.
 
-    The leftovers of an interrupted write carry no marker and are replaced.
-    Tables that ``build`` stages are deleted once the artifact is complete.
+    The leftovers of an interrupted write carry no marker and are replaced; a
+    folder with anything else in it is refused.  Tables that ``build`` stages
+    are deleted once the artifact is complete.
     """
     if not is_complete(spark, path):
+        _refuse_foreign_files(spark, path)
         with temporary_tables(spark):
             store(build(), path, mode="overwrite")
     return load(spark, path)
