@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomewright.llm import exact, mixing
+from tomewright.llm import decontaminate, exact, lines, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": lines.query,
     "op6_source_mixing": mixing.query,
+    "op8_decontamination": decontaminate.query,
     "op10_exact_dedup": exact.query,
 }
-SQL: dict[str, str] = {"op10_exact_dedup": exact.SQL}
+SQL: dict[str, str] = {
+    "op1_line_dedup": lines.SQL,
+    "op8_decontamination": decontaminate.SQL,
+    "op10_exact_dedup": exact.SQL,
+}
