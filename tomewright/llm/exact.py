@@ -145,7 +145,7 @@ def _hash(text: Column, hash_bits: int) -> Column:
 
 
 def build_index(
-    docs: DataFrame, keys: DataFrame, bucket_bytes: int = 64 << 20, max_depth: int = 16, hash_bits: int = 64
+    docs: DataFrame, keys: DataFrame, bucket_bytes: int = 16 << 20, max_depth: int = 16, hash_bits: int = 64
 ) -> tuple[str, Directory]:
     """Write the index of all texts and return its folder and directory.
 
@@ -184,7 +184,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def exact_groups(
-    docs: DataFrame, bucket_bytes: int = 64 << 20, max_depth: int = 16, hash_bits: int = 64
+    docs: DataFrame, bucket_bytes: int = 16 << 20, max_depth: int = 16, hash_bits: int = 64
 ) -> DataFrame:
     """Group documents of identical text: ``doc_id, keep_id, group_size, kept, text_sha256``.
 

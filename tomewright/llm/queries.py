@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomewright.llm import decontaminate, exact, lines, mixing
+from tomewright.llm import decontaminate, exact, lines, mixing, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": lines.query,
+    "op3_secret_scan": secrets.query,
     "op6_source_mixing": mixing.query,
+    "op7_url_filter": urls.query,
     "op8_decontamination": decontaminate.query,
     "op10_exact_dedup": exact.query,
 }
