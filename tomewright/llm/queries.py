@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomewright.llm import decontaminate, exact, language, lines, mixing, secrets, urls
+from tomewright.llm import decontaminate, exact, language, lines, mixing, passages, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": lines.query,
@@ -15,10 +15,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mixing": mixing.query,
     "op7_url_filter": urls.query,
     "op8_decontamination": decontaminate.query,
+    "op9_substring_dedup": passages.query,
     "op10_exact_dedup": exact.query,
 }
 SQL: dict[str, str] = {
     "op1_line_dedup": lines.SQL,
     "op8_decontamination": decontaminate.SQL,
+    "op9_substring_dedup": passages.SQL,
     "op10_exact_dedup": exact.SQL,
 }
