@@ -7,19 +7,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewright.llm.text import chunks
+from tomewright.llm.text import SLICES, chunks, count_slices, gathered
 
 BITS = 16
 BUCKETS = 1 << BITS
 SIZES = (1, 2, 3)
 ROWS_PER_LANGUAGE = 400
 CHUNK_CHARS = 500_000
-SLICE = 1024
 SCALE = 20.0
 UNDETERMINED = "und"
 
@@ -54,7 +52,7 @@ def _text_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordB
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with each bucket, in slices of ``SLICE`` buckets."""
+    """Number of documents with each bucket."""
     count, n_docs = np.zeros(BUCKETS, np.int64), 0
     for _, texts in _text_chunks(batches):
         for at in range(0, len(texts), 100):
@@ -65,26 +63,12 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             count += seen.sum(axis=0)
         n_docs += len(texts)
     if n_docs:
-        slices = [count[i : i + SLICE].tobytes() for i in range(0, BUCKETS, SLICE)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(len(slices)), pa.int32()), pa.array(slices, pa.binary()), pa.array([n_docs] * len(slices), pa.int64())],
-            ["slice", "counts", "n_docs"],
-        )
-
-
-def _summed(rows: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(c, np.int64) for c in rows["counts"]], axis=0)
-    return pd.DataFrame({"slice": rows["slice"].iloc[:1], "counts": [total.tobytes()], "n_docs": [rows["n_docs"].sum()]})
+        yield count_slices(count, n_docs)
 
 
 def inverse_document_frequency(rows: DataFrame) -> np.ndarray:
     """IDF of each bucket over all rows; the driver gets ``BUCKETS`` numbers, however many rows there are."""
-    parts = rows.select("text").mapInArrow(_document_counts, "slice int, counts binary, n_docs long")
-    summed = parts.groupBy("slice").applyInPandas(_summed, "slice int, counts binary, n_docs long").collect()
-    count, n_docs = np.zeros(BUCKETS, np.int64), 0
-    for row in summed:
-        count[row["slice"] * SLICE :][:SLICE] = np.frombuffer(row["counts"], np.int64)
-        n_docs = row["n_docs"]
+    count, n_docs = gathered(rows.select("text").mapInArrow(_document_counts, SLICES), BUCKETS)
     return np.log((1 + n_docs) / (1 + count)) + 1
 
 

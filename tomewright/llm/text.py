@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,3 +74,29 @@ def whole_rows(docs: DataFrame, **columns: Column) -> DataFrame:
 def unwrapped(rows: DataFrame) -> DataFrame:
     """The documents again, with their own columns."""
     return rows.select("doc.*")
+
+
+SLICES = "slice int, counts binary, n_docs long"
+
+
+def count_slices(count: np.ndarray, n_docs: int, width: int = 1024) -> pa.RecordBatch:
+    """A task's counts in rows of ``width`` numbers, to be summed by ``gathered``."""
+    slices = [count[i : i + width].astype(np.int64).tobytes() for i in range(0, len(count), width)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(range(len(slices)), pa.int32()), pa.array(slices, pa.binary()), pa.array([n_docs] * len(slices), pa.int64())],
+        ["slice", "counts", "n_docs"],
+    )
+
+
+def _summed(rows: pd.DataFrame) -> pd.DataFrame:
+    total = np.sum([np.frombuffer(c, np.int64) for c in rows["counts"]], axis=0)
+    return pd.DataFrame({"slice": rows["slice"].iloc[:1], "counts": [total.tobytes()], "n_docs": [rows["n_docs"].sum()]})
+
+
+def gathered(parts: DataFrame, size: int, width: int = 1024) -> tuple[np.ndarray, int]:
+    """Sums of ``count_slices`` over all tasks: ``size`` numbers, however many rows were counted."""
+    count, n_docs = np.zeros(size, np.int64), 0
+    for row in parts.groupBy("slice").applyInPandas(_summed, SLICES).collect():
+        count[row["slice"] * width :][:width] = np.frombuffer(row["counts"], np.int64)
+        n_docs = row["n_docs"]
+    return count, n_docs
