@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomewright.llm import decontaminate, exact, language, lines, mixing, near, passages, secrets, urls
+from tomewright.llm import decontaminate, exact, language, lines, mixing, near, passages, secrets, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": lines.query,
     "op2_language_id": language.query,
     "op3_secret_scan": secrets.query,
+    "op4_token_counts": tokens.query,
     "op5_near_dedup": near.query,
     "op6_source_mixing": mixing.query,
     "op7_url_filter": urls.query,
