@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewright.sources.files import spread
+from tomewright.functions.header import BookFormat
 
 STOP_WORDS = ["the", "of", "and", "is", "le", "la", "des", "hous", "Er", "is", ""]
 
+# The files are invented, and so is their publisher.
+FORMAT = BookFormat("MERIDIAN PRESS")
+
 _ID = "cast(doc_id as string)"
 _LANGUAGE = "case lang when 'en' then 'English' when 'fr' then 'French' when 'de' then 'German' else 'Esperanto' end"
 _ENCODING = (
@@ -21,7 +24,7 @@ _ENCODING = (
 )
 _MARKER = (
     "concat('*** ', '{side} OF ', case when doc_id % 10 = 6 then 'THE' else 'THIS' end, "
-    f"' PROJECT GUTENBERG EBOOK T', {_ID}, ' ***', chr(10))"
+    f"' {FORMAT.publisher} EBOOK T', {_ID}, ' ***', chr(10))"
 )
 _START, _END = _MARKER.format(side="START"), _MARKER.format(side="END")
 
@@ -64,7 +67,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", *columns), "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", *columns)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

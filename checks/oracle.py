@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from checks import inputs
 from tomewright import fixed_values as fv
-from tomewright.functions.latin import EXPANSIONS, LETTERS
+from tomewright.functions.header import language_line
+from tomewright.functions.latin import COMBINING, EXPANSIONS, LETTERS
 
+BLOCK = 100
 LETTER = r"[^\p{L}\p{N}_]+"
 
 
@@ -20,7 +22,7 @@ def to_ascii(text: str) -> str:
     changed = f"translate({text}, {_quoted(''.join(LETTERS))}, {_quoted(''.join(LETTERS.values()))})"
     for char, replacement in EXPANSIONS.items():
         changed = f"replace({changed}, {_quoted(char)}, {_quoted(replacement)})"
-    return changed
+    return f"regexp_replace({changed}, '{COMBINING}', '', 'g')"
 
 
 def tokens(table: str = "documents", key: str = "doc_id", text: str = "text", rx: str = LETTER, keep_empty=False) -> str:
@@ -35,8 +37,9 @@ def counts(token_sql: str, key: str = "doc_id") -> str:
     return f"select {key}, term, count(*) as n from ({token_sql}) group by all"
 
 
-WEIGHTS = f"""
-    counts as ({counts(tokens())}),
+def weights(counted: str) -> str:
+    return f"""
+    counts as ({counted}),
     tops as (select doc_id, max(n) as max_n from counts group by doc_id),
     tf as (select doc_id, term, n, {fv.TF_SMOOTHING} + (1 - {fv.TF_SMOOTHING}) * n::double / max_n as tf
            from counts join tops using (doc_id)),
@@ -45,6 +48,9 @@ WEIGHTS = f"""
     idf as (select term, df, log2(n_docs::double / df) as idf from df, total),
     tfidf as (select doc_id, term, tf, idf, tf * idf as tfidf from tf join idf using (term))
 """
+
+
+WEIGHTS = weights(counts(tokens()))
 HASH = "('0x' || substr(md5(term), 1, 8))::bigint"
 SIGN = "(case when length(term) % 2 = 1 then 1 else -1 end)"
 
@@ -56,8 +62,8 @@ def cells(*places: str) -> str:
     return f"select doc_id, bucket, round(abs(sum(v)), 6) as value from ({rows}) group by all"
 
 
-START = f"(?m){fv.START_MARKER}"
-END = f"(?m){fv.END_MARKER}"
+START = f"(?m){inputs.FORMAT.start}"
+END = f"(?m){inputs.FORMAT.end}"
 
 
 def field(text: str, rx: str) -> str:
@@ -84,27 +90,32 @@ def split_books(copies: int = 1) -> str:
 
 RULES = (
     f"not regexp_matches(header, '(?m){fv.GENOME_LINE}') and "
-    f"(regexp_matches(header, '(?m){fv.ASCII_LINE}') or regexp_matches(header, '(?m){fv.ENGLISH_LINE}'))"
+    f"(regexp_matches(header, '(?m){fv.ASCII_LINE}') or regexp_matches(header, '(?m){language_line('English')}'))"
 )
 DOC_OUT = "path, doc_id, md5(body) as body_md5, cast(length(body) as bigint) as n_chars"
 
-LINES = f"""
-    editions as ({inputs.editions_sql(1)}),
+def lines_ctes(copies: int = 1) -> str:
+    return f"""
+    editions as ({inputs.editions_sql(copies)}),
     lines as (select path, content, unnest(string_split(content, chr(10))) as line,
                      generate_subscripts(string_split(content, chr(10)), 1) - 1 as line_no from editions),
     marks as (select path, any_value({field('content', fv.BOOK_ID)}) as book_id,
-                     min(line_no) filter (regexp_matches(line, '{fv.START_MARKER}')) as start_at,
-                     min(line_no) filter (regexp_matches(line, '{fv.END_MARKER}')) as end_at,
-                     count(*) filter (regexp_matches(line, '{fv.END_MARKER}')) as n_ends
+                     min(line_no) filter (regexp_matches(line, '{inputs.FORMAT.start}')) as start_at,
+                     min(line_no) filter (regexp_matches(line, '{inputs.FORMAT.end}')) as end_at,
+                     count(*) filter (regexp_matches(line, '{inputs.FORMAT.end}')) as n_ends
               from lines group by path),
     parts as (select path, ltrim(any_value(book_id), '#') as doc_id,
                      string_agg(line, chr(10) order by line_no) filter (line_no <= start_at) as header,
                      string_agg(line, ' ' order by line_no) filter (line_no > start_at) as body,
                      string_agg(line, ' ' order by line_no)
                          filter (line_no > start_at and (n_ends <> 1 or line_no < end_at)) as cut
-              from lines join marks using (path) where start_at is not null and book_id is not null group by path)
+              from lines join marks using (path) where start_at is not null and book_id is not null group by path),
+    firsts as (select * from (select *, row_number() over (partition by doc_id order by path) as place from parts) where place = 1)
 """
 
+
+LINES = lines_ctes()
+
 METADATA = f"""
     records as (
         select {inputs.RDF_NAME} as file_name,
@@ -124,6 +135,7 @@ RECORDS_OUT = """
     union all select file_name, null, null, 0 from extra
 """
 STOPPED = "raw not in (select w from stop) and term not in (select w from stop)"
+LOWER_STOPPED = STOPPED.replace("raw", "lower(raw)").replace("select w", "select lower(w)")
 
 
 def _sql() -> dict[str, str]:
@@ -136,7 +148,7 @@ def _sql() -> dict[str, str]:
     sql["term_counts_ascii"] = counts(tokens(rx=fv.ASCII_SEPARATOR, keep_empty=True))
     stop = f"with stop(w) as (values {STOP}) "
     sql["stop_filtered_counts"] = stop + counts(f"{tokens()} and {STOPPED}")
-    sql["stop_filtered_ignore_case"] = stop + counts(f"{tokens()} and {STOPPED.replace('raw', 'lower(raw)')}")
+    sql["stop_filtered_ignore_case"] = stop + counts(f"{tokens()} and {LOWER_STOPPED}")
     sql["stop_filtered_simple"] = stop + counts(
         f"{tokens(rx=fv.ASCII_SEPARATOR, keep_empty=True)} where term not in (select w from stop)"
     )
@@ -144,6 +156,7 @@ def _sql() -> dict[str, str]:
              "(select unnest(string_split(text, chr(10))) as line from benchmark)"
     sql["stop_list_words"] = f"with words(word) as ({listed}) select distinct word from words"
     sql["stop_filtered_long_list"] = f"with stop(w) as ({listed}) " + counts(f"{tokens()} and {STOPPED}")
+    sql["stop_filtered_list_ignore_case"] = f"with stop(w) as ({listed}) " + counts(f"{tokens()} and {LOWER_STOPPED}")
     sql["stop_filtered_file"] = sql["stop_filtered_long_list"]
     sql["min_term_length"] = f"select * from ({counts(tokens())}) where length(term) >= 3"
     sql["transliterated_counts"] = counts(tokens(text=to_ascii("text")))
@@ -172,16 +185,28 @@ def _sql() -> dict[str, str]:
         select *, cast(row_number() over (partition by doc_id order by tfidf desc, term) as integer) as rank
         from tfidf) where rank <= 5"""
     sql["postings"] = f"with {WEIGHTS} select term, df, doc_id, n from counts join df using (term)"
-    blocks = "cast(ceil(df / 10000.0) as integer)"
-    sql["posting_lists"] = f"""with {WEIGHTS} select term, df, {blocks} as blocks, df as n_postings,
-        md5(string_agg(doc_id || ':' || n, ' ' order by doc_id)) as listing
-        from counts join df using (term) group by term, df"""
+    blocks = f"cast(ceil(df / {BLOCK}.0) as integer)"
+
+    def listings(key: str, counted: str, before: str = "") -> str:
+        place = f"('0x' || substr(md5(cast({key} as varchar)), 1, 8))::bigint % {blocks}"
+        return f"""with {before} counts as ({counted}),
+            df as (select term, count(*) as df from counts group by term),
+            placed as (select *, {blocks} as blocks, cast({place} as integer) as block from counts join df using (term))
+            select term, df, block, blocks, count(*) as n_postings,
+                   md5(string_agg({key} || ':' || n, ' ' order by {key})) as listing
+            from placed group by term, df, block, blocks"""
+
+    sql["posting_lists"] = listings("doc_id", counts(tokens()))
+    words = tokens("named", "file_name", "content", fv.ASCII_SEPARATOR, keep_empty=True)
+    named = f"named as (select replace(path, 'books/', '') as file_name, content from ({inputs.editions_sql(1)})),"
+    sql["file_index"] = listings("file_name", counts(words, "file_name"), named)
 
     # Vectors
     size, (left, right) = fv.VECTOR_SIZE, (fv.VECTOR_SIZE // 2 - 1, fv.VECTOR_SIZE // 2 + 1)
     one = cells(f"{HASH} % {size}")
     double = cells(f"{HASH} % {left}", f"{left} + {HASH} % {right}")
     sql["hash_cells"] = f"with {WEIGHTS} {one}"
+    sql["hash_cells_large_vocabulary"] = sql["hash_cells"]
     sql["double_hash_cells"] = f"with {WEIGHTS} {double}"
     sql["feature_vectors"] = f"""with {WEIGHTS} select doc_id, cast({size} as bigint) as size,
         count(*) filter (value > 0) as n_filled, round(sum(value), 6) as total from ({one}) group by doc_id"""
@@ -193,20 +218,20 @@ def _sql() -> dict[str, str]:
     # Documents from book files
     split = split_books()
     sql["header_fields"] = f"""with {split} select path, book_id, charset, cast(enc_rank as integer) as enc_rank,
-        regexp_matches(header, '(?m){fv.ENGLISH_LINE}') as english, regexp_matches(header, '(?m){fv.GERMAN_LINE}') as german,
-        regexp_matches(header, '(?m){fv.FRENCH_LINE}') as french, regexp_matches(header, '(?m){fv.ESPERANTO_LINE}') as esperanto,
+        regexp_matches(header, '(?m){language_line('English')}') as english, regexp_matches(header, '(?m){language_line('German')}') as german,
+        regexp_matches(header, '(?m){language_line('French')}') as french, regexp_matches(header, '(?m){language_line('Esperanto')}') as esperanto,
         md5(header) as header_md5, md5(cut) as body_md5 from ranked"""
     sql["book_documents"] = f"with {split} select {DOC_OUT}, enc_rank from docs"
     sql["book_documents_by_rules"] = f"with {split} select {DOC_OUT}, enc_rank from docs where {RULES}"
     sql["book_documents_two_rules"] = f"""with {split} select {DOC_OUT}, enc_rank from docs
-        where regexp_matches(header, '(?m){fv.GERMAN_LINE}') or regexp_matches(header, '(?m){fv.FRENCH_LINE}')"""
+        where regexp_matches(header, '(?m){language_line('German')}') or regexp_matches(header, '(?m){language_line('French')}')"""
     loose = f"""editions as ({inputs.editions_sql(1)}),
         found as (select path, content, ltrim({field('content', fv.BOOK_ID)}, '#') as doc_id,
                          regexp_split_to_array(content, '{START}') as p,
                          regexp_extract_all(content, '{START}') as m from editions),
         loose as (select path, content, doc_id, case when len(p) > 1 then
                          substr(content, length(p[1]) + length(m[1]) + 1) end as body from found)"""
-    english = f"regexp_matches(content, '(?m){fv.ENGLISH_LINE}')"
+    english = f"regexp_matches(content, '(?m){language_line('English')}')"
     sql["book_documents_unfiltered"] = f"with {loose} select {DOC_OUT} from loose"
     sql["book_documents_english"] = f"""with {loose}, said as (select path, case when {english} then doc_id end as doc_id,
         case when {english} then body end as body from loose) select {DOC_OUT} from said"""
@@ -220,6 +245,14 @@ def _sql() -> dict[str, str]:
         (partition by doc_id order by enc_rank desc, path) as place from docs) where place = 1)
         {counts(tokens('chosen', text='body'))}"""
 
+    full = f"(select * from docs where {RULES})"
+    best = f"""best as (select doc_id, {to_ascii('body')} as body from (select *, row_number() over
+        (partition by doc_id order by enc_rank desc, path) as place from {full}) where place = 1), stop(w) as (values {STOP})"""
+    full_counts = counts(f"{tokens('best', text='body')} and {STOPPED}")
+    sql["edition_profiles_all_options"] = f"with {many}, {best} {full_counts}"
+    filled = f"select * from ({one}) where value <> 0"
+    sql["book_vectors"] = f"with {many}, {best}, {weights(full_counts)} {filled}"
+
     # Documents by lines
     sql["book_lines"] = f"with {LINES} select path, cast(line_no as integer) as line_no, line from lines"
     sql["probed_lines"] = f"""with {LINES} select path, cast(line_no as integer) as line_no,
@@ -227,7 +260,11 @@ def _sql() -> dict[str, str]:
     sql["line_documents"] = f"with {LINES} select {DOC_OUT} from parts"
     sql["line_documents_by_rules"] = f"with {LINES} select {DOC_OUT} from parts where {RULES}"
     sql["line_documents_cut"] = f"with {LINES} select {DOC_OUT.replace('body)', 'cut)')} from parts"
-    sql["line_edition_profiles"] = f"with {LINES} {counts(tokens('parts', text='body'))}"
+    sql["line_edition_profiles"] = f"with {lines_ctes(3)} {counts(tokens('firsts', text='body'))}"
+    ruled = f"""ruled as (select doc_id, {to_ascii('body')} as body from (select *, row_number() over
+        (partition by doc_id order by path) as place from parts where {RULES}) where place = 1), stop(w) as (values {STOP})"""
+    line_counts = counts(f"{tokens('ruled', text='body')} and {STOPPED}")
+    sql["line_book_vectors"] = f"with {lines_ctes(3)}, {ruled}, {weights(line_counts)} {filled}"
 
     # Metadata
     sql["metadata_records"] = f"with {METADATA} {RECORDS_OUT}"
@@ -244,6 +281,11 @@ def _sql() -> dict[str, str]:
     # Files
     sql["scanned_books"] = f"""with editions as ({inputs.editions_sql(1)}) select cast(doc_id as varchar) as doc_id,
         cast(octet_length(encode(content)) + 1 as bigint) as file_size, md5(content || chr(10)) as content_md5 from editions"""
+    sql["flat_scanned_books"] = sql["scanned_books"]
+    plain = "replace(content, 'encoding: ISO-8859-1', 'encoding: US-ASCII') || chr(10)"
+    sql["stored_books"] = f"""with editions as ({inputs.editions_sql(1)}) select cast(doc_id as varchar) as doc_id,
+        cast(octet_length(encode({plain})) as bigint) as file_size, md5({plain}) as content_md5
+        from editions where doc_id % 3 < 2"""
     sql["small_scanned_books"] = f"select * from ({sql['scanned_books']}) where file_size < 2000"
     latin = r"regexp_replace(content, '[^\x00-\xFF]', '?', 'g')"
     sql["decoded_books"] = f"""with editions as ({inputs.editions_sql(1)}) select path, md5(
@@ -251,8 +293,23 @@ def _sql() -> dict[str, str]:
         from editions"""
     sql["counted_files"] = "select count(*) as n_files from documents"
     sql["scanned_metadata"] = f"""with {METADATA} select ebook_id, birth_year, n_subjects from ({RECORDS_OUT})"""
+    sql["book_metadata"] = f"""with {METADATA} select r.ebook_id, birth_year, cast(place as integer) as place, subject_id, subject_txt
+        from subjects s join records r on s.file_name = r.file_name"""
     sql["stored_metadata"] = f"with {METADATA} {RECORDS_OUT}"
 
+    # Learning
+    def ticket(salt: int) -> str:
+        return f"('0x' || substr(md5('{salt}|' || doc_id), 1, 8))::bigint"
+
+    learning = f"""select doc_id, subject, label, {ticket(0)} % 1000000 < 250000 as testing, cast({ticket(1)} % 3 as integer) as fold
+        from ({sql["subject_labels"]})"""
+    sql["learning_rows"] = learning
+    sql["majority_errors"] = f"""select subject, n_training, n_testing, round(case when p > 0.5 then 1 - p else p end, 6) as training_error,
+        round(case when p > 0.5 then 1 - q else q end, 6) as testing_error from (
+        select subject, avg(label) filter (not testing) as p, avg(label) filter (testing) as q,
+               count(*) filter (not testing) as n_training, count(*) filter (testing) as n_testing
+        from ({learning}) group by subject)"""
+
     # Looks
     draws = ", ".join(f"({d})" for d in range(4))
     sql["drawn_counts"] = f"""select draw, doc_id, term, n from (select *, row_number() over (partition by draw

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +22,8 @@ from tomewright.sources import artifacts, files, metadata
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+# Small, so that the queries meet terms of several blocks.
+BLOCK = 100
 
 
 def query(fn: Query) -> Query:
@@ -98,8 +99,13 @@ def stop_list_words(spark, sf):
 
 @query
 def stop_filtered_long_list(spark, sf):
-    """A list of any length is joined; forced here by a limit of no words."""
-    return pf.term_counts(profile(spark, sf, stop_words=_listed_words(spark, sf), max_listed=0))
+    """A list given as a table is joined."""
+    return pf.term_counts(profile(spark, sf, stop_words=_listed_words(spark, sf)))
+
+
+@query
+def stop_filtered_list_ignore_case(spark, sf):
+    return pf.term_counts(profile(spark, sf, stop_words=_listed_words(spark, sf), ignore_case=True))
 
 
 @query
@@ -211,10 +217,17 @@ def postings(spark, sf):
 
 @query
 def posting_lists(spark, sf):
-    lists = index.posting_lists(index.postings(staged_profile(spark, sf)))
-    return lists.select(
-        "term", "df", "blocks", F.size("postings").cast("bigint").alias("n_postings"), listing("postings", "doc_id", "n")
-    )
+    return _listings(index.posting_lists(index.postings(staged_profile(spark, sf)), BLOCK), "doc_id")
+
+
+def _listings(lists: DataFrame, key: str) -> DataFrame:
+    n = F.size("postings").cast("bigint").alias("n_postings")
+    return lists.select("term", "df", "block", "blocks", n, listing("postings", key, "n"))
+
+
+@query
+def file_index(spark, sf):
+    return _listings(pipelines.file_index(inputs.books(spark, sf), BLOCK), "file_name")
 
 
 # --- vectors -------------------------------------------------------------------
@@ -230,22 +243,34 @@ def double_hash_cells(spark, sf):
     return rounded(vec.hash_cells(staged_profile(spark, sf), vec.double_hash_sizes()), "value")
 
 
+@query
+def hash_cells_large_vocabulary(spark, sf):
+    return rounded(vec.hash_cells(staged_profile(spark, sf), broadcast_bytes=0), "value")
+
+
+SIZES = (100, 1000, fv.VECTOR_SIZE)
+
+
 @query
 def vector_size_cells(spark, sf):
-    rows = staged_profile(spark, sf)
-    sizes = [100, 1000, 10_000]
-    parts = [vec.hash_cells(rows, s).select(F.lit(s).alias("size"), "doc_id", "bucket", "value") for s in sizes]
-    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), "value")
+    """All sizes are hashed in one pass, as parts of one vector, and told apart again."""
+    cells = vec.hash_cells(staged_profile(spark, sf), SIZES)
+    starts = [sum(SIZES[:i]) for i in range(len(SIZES))]
+    size, start = F.lit(SIZES[0]), F.lit(0)
+    for s, at in zip(SIZES[1:], starts[1:], strict=True):
+        inside = F.col("bucket") >= at
+        size, start = F.when(inside, s).otherwise(size), F.when(inside, at).otherwise(start)
+    return rounded(cells.select(size.alias("size"), "doc_id", (F.col("bucket") - start).alias("bucket"), "value"), "value")
 
 
 @query
 def feature_vectors(spark, sf):
     cells = rounded(vec.hash_cells(staged_profile(spark, sf), by_document=True), "value")
-    dense = vec.feature_vectors(cells).select("doc_id", vector_to_array("features").alias("v"))
-    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
-    return dense.select(
-        "doc_id", F.size("v").cast("bigint").alias("size"),
-        F.size(F.filter("v", lambda x: x > 0)).cast("bigint").alias("n_filled"), F.round(total, 6).alias("total"),
+    rows = vec.vector_rows(cells).select("doc_id", "features.*")
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return rows.select(
+        "doc_id", F.col("size").cast("bigint").alias("size"), F.size("indices").cast("bigint").alias("n_filled"),
+        F.round(total, 6).alias("total"),
     )
 
 
@@ -261,41 +286,41 @@ def _out(docs: DataFrame, *more: str) -> DataFrame:
 
 @query
 def header_fields(spark, sf):
-    books = extract.split_header(inputs.books(spark, sf))
+    books = extract.split_header(inputs.books(spark, sf), inputs.FORMAT)
     head = F.col("header")
     declared = h.charset(head)
     return books.select(
         "path", h.book_id(head).alias("book_id"), declared.alias("charset"), h.charset_rank(declared).alias("enc_rank"),
         *[h.language_is(head, name).alias(name.lower()) for name in ("English", "German", "French", "Esperanto")],
         F.md5(head.cast("binary")).alias("header_md5"),
-        F.md5(h.without_footer(F.col("body")).cast("binary")).alias("body_md5"),
+        F.md5(h.without_footer(F.col("body"), inputs.FORMAT).cast("binary")).alias("body_md5"),
     )
 
 
 @query
 def book_documents(spark, sf):
-    return _out(extract.documents(inputs.books(spark, sf)), "enc_rank")
+    return _out(extract.documents(inputs.books(spark, sf), inputs.FORMAT), "enc_rank")
 
 
 @query
 def book_documents_by_rules(spark, sf):
-    return _out(extract.documents(inputs.books(spark, sf), h.DEFAULT_RULES), "enc_rank")
+    return _out(extract.documents(inputs.books(spark, sf), inputs.FORMAT, h.DEFAULT_RULES), "enc_rank")
 
 
 @query
 def book_documents_two_rules(spark, sf):
-    rules = h.HeaderRules(include=(fv.GERMAN_LINE, fv.FRENCH_LINE))
-    return _out(extract.documents(inputs.books(spark, sf), rules), "enc_rank")
+    rules = h.HeaderRules(include=(h.language_line("German"), h.language_line("French")))
+    return _out(extract.documents(inputs.books(spark, sf), inputs.FORMAT, rules), "enc_rank")
 
 
 @query
 def book_documents_unfiltered(spark, sf):
-    return _out(extract.documents_unfiltered(inputs.books(spark, sf)))
+    return _out(extract.documents_unfiltered(inputs.books(spark, sf), inputs.FORMAT))
 
 
 @query
 def book_documents_english(spark, sf):
-    return _out(extract.documents_unfiltered(inputs.books(spark, sf), english_only=True))
+    return _out(extract.documents_unfiltered(inputs.books(spark, sf), inputs.FORMAT, english_only=True))
 
 
 @query
@@ -305,17 +330,49 @@ def transliterated_texts(spark, sf):
 
 @query
 def best_edition(spark, sf):
-    return _out(extract.best_edition(extract.documents(inputs.editions(spark, sf))), "enc_rank")
+    return _out(extract.best_edition(extract.documents(inputs.editions(spark, sf), inputs.FORMAT)), "enc_rank")
 
 
 @query
 def first_edition(spark, sf):
-    return _out(extract.first_edition(extract.documents(inputs.editions(spark, sf))), "enc_rank")
+    return _out(extract.first_edition(extract.documents(inputs.editions(spark, sf), inputs.FORMAT)), "enc_rank")
 
 
 @query
 def edition_profiles(spark, sf):
-    return pf.term_counts(pipelines.book_profiles(inputs.editions(spark, sf)))
+    return pf.term_counts(pipelines.book_profiles(inputs.editions(spark, sf), inputs.FORMAT))
+
+
+def _full_options(spark) -> dict:
+    words = spark.createDataFrame([(word,) for word in inputs.STOP_WORDS], "word string")
+    return {"rules": h.DEFAULT_RULES, "stop_words": words, "transliterate": True}
+
+
+@query
+def edition_profiles_all_options(spark, sf):
+    """Rules, stop list and transliteration together."""
+    return pf.term_counts(pipelines.book_profiles(inputs.editions(spark, sf), inputs.FORMAT, **_full_options(spark)))
+
+
+def _vector_cells(spark, sf, **options) -> DataFrame:
+    """Vectors of the whole pipeline, with a stop list read from a file."""
+    stop, out = artifacts.new_path(spark, "stop_list"), artifacts.new_path(spark, "vectors")
+    spark.createDataFrame([(",".join(inputs.STOP_WORDS),)], "line string").write.text(stop)
+    pipelines.book_vectors(
+        spark, inputs.editions(spark, sf), out, inputs.FORMAT, stop, h.DEFAULT_RULES, transliterate=True, **options
+    )
+    zipped = F.inline(F.arrays_zip(F.col("features.indices").alias("bucket"), F.col("features.values").alias("value")))
+    return rounded(spark.read.parquet(out).select("doc_id", zipped), "value").where("value <> 0")
+
+
+@query
+def book_vectors(spark, sf):
+    return _vector_cells(spark, sf)
+
+
+@query
+def line_book_vectors(spark, sf):
+    return _vector_cells(spark, sf, by_line=True)
 
 
 # --- documents by lines ----------------------------------------------------------
@@ -333,22 +390,22 @@ def probed_lines(spark, sf):
 
 @query
 def line_documents(spark, sf):
-    return _out(extract.line_documents(inputs.books(spark, sf)))
+    return _out(extract.line_documents(inputs.books(spark, sf), inputs.FORMAT))
 
 
 @query
 def line_documents_by_rules(spark, sf):
-    return _out(extract.line_documents(inputs.books(spark, sf), h.DEFAULT_RULES))
+    return _out(extract.line_documents(inputs.books(spark, sf), inputs.FORMAT, h.DEFAULT_RULES))
 
 
 @query
 def line_documents_cut(spark, sf):
-    return _out(extract.line_documents(inputs.books(spark, sf), cut_footer=True))
+    return _out(extract.line_documents(inputs.books(spark, sf), inputs.FORMAT, cut_footer=True))
 
 
 @query
 def line_edition_profiles(spark, sf):
-    return pf.term_counts(pipelines.line_book_profiles(inputs.books(spark, sf)))
+    return pf.term_counts(pipelines.line_book_profiles(inputs.editions(spark, sf), inputs.FORMAT))
 
 
 # --- metadata --------------------------------------------------------------------
@@ -428,6 +485,27 @@ def scanned_books(spark, sf):
     return _scan_out(files.book_files(spark, _written_books(spark, sf)))
 
 
+@query
+def flat_scanned_books(spark, sf):
+    return _scan_out(files.book_files(spark, _written_books(spark, sf) + "/name=*", recursive=False))
+
+
+@query
+def stored_books(spark, sf):
+    """Two folders, stored by three calls, of which the last asks for both."""
+    books = inputs.books(spark, sf)
+    plain = F.replace("content", F.lit("encoding: ISO-8859-1"), F.lit("encoding: US-ASCII")).alias("content")
+    number = F.regexp_extract("file_name", "^([0-9]+)", 1)
+    folders = [
+        _write_each(books.where(F.pmod(number.cast("bigint"), F.lit(3)) == part).select(number.alias("name"), plain), "content")
+        for part in (0, 1)
+    ]
+    out = artifacts.new_path(spark, "stored")
+    pipelines.stored_books(spark, folders[:1], out)
+    pipelines.stored_books(spark, folders[1:], out)
+    return _scan_out(pipelines.stored_books(spark, folders[::-1], out))
+
+
 @query
 def small_scanned_books(spark, sf):
     return _scan_out(files.book_files(spark, _written_books(spark, sf), smaller_than=2000))
@@ -455,6 +533,15 @@ def scanned_metadata(spark, sf):
     return _summary(metadata.metadata_files(spark, _write_each(rdf, "xml")))
 
 
+@query
+def book_metadata(spark, sf):
+    """Subjects of scanned files, stored by the first call and loaded by the second."""
+    rdf = inputs.rdf_documents(spark, sf).select(F.col("file_name").alias("name"), "xml")
+    path, out = _write_each(rdf, "xml"), artifacts.new_path(spark, "metadata")
+    pipelines.book_metadata(spark, path, out)
+    return _subject_rows(pipelines.book_metadata(spark, path, out), "ebook_id", "birth_year")
+
+
 @query
 def stored_metadata(spark, sf):
     """Built and stored by the first call, loaded by the second."""
@@ -476,9 +563,7 @@ def first_counts(spark, sf):
     return sampling.first_rows(term_counts(spark, sf), 20, F.desc("n"), "doc_id", "term")
 
 
-# --- learning: no SQL twin ---------------------------------------------------------
-
-SMALL = 1000
+# --- learning ----------------------------------------------------------------------
 
 
 def _vectors(spark, sf, *parts: int) -> DataFrame:
@@ -486,43 +571,69 @@ def _vectors(spark, sf, *parts: int) -> DataFrame:
     return vec.feature_vectors(cells, sum(parts))
 
 
+def _stored_metadata(spark, sf) -> DataFrame:
+    return artifacts.staged(_metadata(spark, sf), "metadata")
+
+
+def _labelled(spark, sf) -> tuple[DataFrame, list[str]]:
+    return learn.labelled(_vectors(spark, sf, fv.VECTOR_SIZE), _stored_metadata(spark, sf))
+
+
+@query
+def learning_rows(spark, sf):
+    """Labels, part and fold of each document, as the learning queries use them."""
+    rows, names = _labelled(spark, sf)
+    subject = F.array(*[F.lit(n) for n in names])
+    each = rows.select("doc_id", "testing", "fold", F.inline(F.arrays_zip(subject.alias("subject"), F.col("labels").alias("label"))))
+    return each.withColumn("label", F.col("label").cast("int"))
+
+
+@query
+def majority_errors(spark, sf):
+    """Error of always predicting the more frequent label of the training part: what every classifier should beat."""
+    rows = learning_rows(spark, sf)
+    part = rows.groupBy("subject").agg(
+        F.avg(F.when(~F.col("testing"), F.col("label"))).alias("p"), F.avg(F.when(F.col("testing"), F.col("label"))).alias("q"),
+        F.count_if(~F.col("testing")).alias("n_training"), F.count_if("testing").alias("n_testing"),
+    )
+    one = F.col("p") > 0.5
+    errors = part.select(
+        "subject", "n_training", "n_testing", F.when(one, 1 - F.col("p")).otherwise(F.col("p")).alias("training_error"),
+        F.when(one, 1 - F.col("q")).otherwise(F.col("q")).alias("testing_error"),
+    )
+    return rounded(errors, "training_error", "testing_error")
+
+
 @query
 def subject_classifiers(spark, sf):
     """Naive Bayes, tree and logistic regression with one setting, for the ten top subjects."""
-    rows, names = learn.labelled(_vectors(spark, sf, SMALL), artifacts.staged(_metadata(spark, sf), "metadata"))
+    rows, names = _labelled(spark, sf)
     methods = [
         learn.naive_bayes(),
         learn.Method("decision_tree", DecisionTreeClassifier(seed=0)),
-        learn.Method("logistic_regression", LogisticRegression(maxIter=10, regParam=0.01)),
+        learn.Method("logistic_regression", LogisticRegression(maxIter=20, regParam=0.01)),
     ]
     return learn.subject_errors(rows, names, methods)
 
 
 @query
 def cross_validated_errors(spark, sf):
-    rows, names = learn.labelled(
-        _vectors(spark, sf, 250), artifacts.staged(_metadata(spark, sf), "metadata"), folds=2
-    )
-    methods = [learn.decision_tree((2, 5)), learn.logistic_regression((0.01, 0.1))]
-    return learn.subject_errors(rows, names, methods, folds=2)
+    rows, names = _labelled(spark, sf)
+    return learn.subject_errors(rows, names, [learn.decision_tree(), learn.logistic_regression()])
 
 
 @query
 def vector_size_errors(spark, sf):
-    sizes = {f"size {size}": _vectors(spark, sf, size) for size in (100, 1000, 10_000)}
-    return learn.compare_features(
-        sizes, artifacts.staged(_metadata(spark, sf), "metadata"), [learn.naive_bayes()]
-    )
+    sizes = {f"size {size}": _vectors(spark, sf, size) for size in SIZES}
+    return learn.compare_features(sizes, _stored_metadata(spark, sf), [learn.naive_bayes()])
 
 
 @query
 def double_hash_errors(spark, sf):
-    pair = {"single": _vectors(spark, sf, SMALL), "double": _vectors(spark, sf, *vec.double_hash_sizes(SMALL))}
-    return learn.compare_features(pair, artifacts.staged(_metadata(spark, sf), "metadata"), [learn.naive_bayes()])
+    pair = {"single": _vectors(spark, sf, fv.VECTOR_SIZE), "double": _vectors(spark, sf, *vec.double_hash_sizes())}
+    return learn.compare_features(pair, _stored_metadata(spark, sf), [learn.naive_bayes()])
 
 
 @query
 def birth_year_errors(spark, sf):
-    return learn.birth_year_regression(
-        _vectors(spark, sf, SMALL), artifacts.staged(_metadata(spark, sf), "metadata")
-    )
+    return learn.birth_year_regression(_vectors(spark, sf, fv.VECTOR_SIZE), _stored_metadata(spark, sf))

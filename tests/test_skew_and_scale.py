@@ -47,7 +47,7 @@ def test_hot_terms_are_few(spark, profile):
 
 def test_posting_blocks_lose_nothing(spark, profile):
     tidy = index.postings(profile)
-    lists = index.posting_lists(tidy, block=10)
+    lists = index.posting_lists(tidy, 10)
     assert lists.where("blocks > 1").count() > 0
     assert lists.groupBy("term").count().where("count > 1").count() > 0
     again = lists.select("term", "df", F.inline("postings"))
@@ -79,23 +79,50 @@ def test_editions_of_one_book_in_a_third_of_all_rows(spark):
 
 
 @pytest.mark.parametrize("options", [{}, {"ignore_case": True}, {"stop_raw": False}, {"min_term_len": 2}])
-def test_long_stop_list_equals_short_one(spark, options):
+def test_joined_stop_list_equals_the_probed_one(spark, options):
     docs = inputs.documents(spark, SF)
+    # Two rows of one key keep a profile each.
+    docs = docs.union(spark.createDataFrame([(1, "The cat of Er"), (1, "cats and er")], docs.schema))
     stop = spark.createDataFrame([(word,) for word in inputs.STOP_WORDS], "word string")
-    short = pf.profiles(docs, stop_words=stop, **options)
-    long = pf.profiles(docs, stop_words=stop, max_listed=1, **options)
-    assert rows(pf.term_counts(short), "doc_id", "term", "n") == rows(pf.term_counts(long), "doc_id", "term", "n")
-    assert rows(short, "doc_id", "max_n") == rows(long, "doc_id", "max_n")
+    probed = pf.profiles(docs, stop_words=inputs.STOP_WORDS, **options)
+    joined = pf.profiles(docs, stop_words=stop, **options)
+    assert rows(pf.term_counts(probed), "doc_id", "term", "n") == rows(pf.term_counts(joined), "doc_id", "term", "n")
+    assert rows(probed, "doc_id", "max_n") == rows(joined, "doc_id", "max_n")
 
 
-def test_long_stop_list_can_keep_empty_documents(spark):
+def test_joined_stop_list_can_keep_empty_documents(spark):
     docs = spark.createDataFrame([(1, "the"), (2, "cat")], "doc_id bigint, text string")
     stop = spark.createDataFrame([("the",), ("a",)], "word string")
-    for max_listed in (100, 1):
-        found = pf.profiles(docs, stop_words=stop, drop_empty=False, max_listed=max_listed)
+    for words in (stop, ["the", "a"]):
+        found = pf.profiles(docs, stop_words=words, drop_empty=False)
         assert {(r.doc_id, r.max_n, len(r.terms)) for r in found.collect()} == {(1, None, 0), (2, 1, 1)}
 
 
+def test_long_hot_term_and_repeated_paths(spark):
+    rule = "_" * 70
+    texts = spark.createDataFrame([(i, f"{rule} w{i}") for i in range(300)], "doc_id bigint, text string")
+    profile = staged(pf.profiles(texts), "profiles")
+    found = wt.tfidf(profile, broadcast_bytes=0)
+    assert found.where(F.col("term") == rule).count() == 300 and found.count() == 600
+    docs = spark.createDataFrame([("a", "1", 2, "x"), ("a", "1", 2, "x"), ("b", "1", 1, "y")], "path string, doc_id string, enc_rank int, body string")
+    assert [r.path for r in extract.best_edition(docs).collect()] == ["a"]
+
+
+def test_editions_read_texts_once_more_than_their_narrow_columns(spark, tmp_path):
+    path = str(tmp_path / "books")
+    inputs.editions(spark, SF).write.parquet(path)
+    plan = plan_of(extract.best_edition(extract.documents(spark.read.parquet(path), inputs.FORMAT)))
+    # The losers come from the written narrow table, so the result scans the texts once.
+    assert plan.count("content:string") == 1, plan
+
+
+def test_profile_is_scanned_once_for_a_large_vocabulary(spark, profile):
+    words = staged(wt.vocabulary(profile), "vocabulary")
+    plan = plan_of(wt.with_vocabulary(wt.term_frequency(profile), words, broadcast_bytes=0))
+    # What is left to do reads the rows written with the hot terms' entries, not the profile.
+    assert "terms:array" not in plan, plan
+
+
 def test_counts_against_brute_force(spark):
     made = random.Random(5)
     texts = [(i, " ".join(made.choice(["Cats", "cat", "s", "dog", "élan", "x_1"]) for _ in range(made.randrange(40)))) for i in range(50)]
@@ -171,19 +198,19 @@ def test_row_local_operators_do_not_shuffle(spark, tmp_path):
     profile = pf.profiles(stored, text="content", stop_words=inputs.STOP_WORDS)
     for df in (
         pf.term_counts(profile), pf.top_term(profile), wt.term_frequency(profile),
-        extract.documents(stored), extract.line_documents(stored), extract.documents_unfiltered(stored),
+        extract.documents(stored, inputs.FORMAT), extract.line_documents(stored, inputs.FORMAT), extract.documents_unfiltered(stored, inputs.FORMAT),
     ):
         plan = plan_of(df)
         assert "Exchange" not in plan and "Python" not in plan, plan
     # The text is split once, not again for a filter on the result.
     assert plan_of(pf.term_counts(profile)).count("split(") == 1
-    assert plan_of(extract.documents(stored).select("doc_id")).count("split(content") == 1
+    assert plan_of(extract.documents(stored, inputs.FORMAT).select("doc_id")).count("split(content") == 1
 
 
 def test_no_plan_has_a_cross_join_or_python(spark, profile):
     for df in (
         wt.top_terms(wt.tfidf(profile, broadcast_bytes=0), 5), vec.hash_cells(profile), index.postings(profile),
-        extract.best_edition(extract.documents(inputs.editions(spark, SF))),
+        extract.best_edition(extract.documents(inputs.editions(spark, SF), inputs.FORMAT)),
     ):
         plan = plan_of(df)
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan, plan
@@ -196,14 +223,14 @@ def test_vectors_by_document_take_one_shuffle(spark, profile):
 
 def test_large_sides_are_sort_merged(spark, profile):
     words = staged(wt.vocabulary(profile), "vocabulary")
-    docs = staged(extract.documents(inputs.editions(spark, SF)), "editions")
+    docs = staged(extract.documents(inputs.editions(spark, SF), inputs.FORMAT), "editions")
     small = rows(extract.best_edition(docs), "path")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         split = wt.with_vocabulary(wt.term_frequency(profile), words, broadcast_bytes=0)
         plan = plan_of(split)
-        # Hot terms by broadcast, the rest by shuffle.
-        assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 2, plan
+        # Rows of hot terms are ready, the rest is joined by shuffle.
+        assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 1, plan
         plain = wt.term_frequency(profile).join(words, "term")
         assert rows(split, "doc_id", "term", "tf", "idf") == rows(plain, "doc_id", "term", "tf", "idf")
         large = extract.best_edition(docs)

@@ -6,20 +6,17 @@ weighting scheme.  Patterns are Java regular expressions; ``(?md)`` lets ``^``
 match after every ``\\n`` and after nothing else.
 """
 
-# Markers between license header, body and license footer of a book file.
-START_MARKER = r"^\*{3} *START OF TH(?:IS|E) PROJECT GUTENBERG[^\*]+\*{3}"
-END_MARKER = r"^\*{3} *END OF TH(?:IS|E) PROJECT GUTENBERG[^\*]+\*{3}"
+# Markers between license header, body and license footer of a book file; the name between the two parts is a parameter.
+START_MARKER = (r"^\*{3} *START OF TH(?:IS|E) ", r"[^\*]+\*{3}")
+END_MARKER = (r"^\*{3} *END OF TH(?:IS|E) ", r"[^\*]+\*{3}")
 
 # Field lines of the header.
 BOOK_ID = r"\[E(?:Book|text) (#[0-9]+)\]"
 CHARSET_LINE = r"^Character set encoding: ([\p{L}\p{N}_]+)"
-CHARSET_NAME_LINE = r"^Character set encoding: ([^\s]+)"
-ASCII_LINE = r"^(Character set encoding: ASCII)"
-ENGLISH_LINE = r"^(Language: English)"
-GERMAN_LINE = r"^(Language: German)"
-FRENCH_LINE = r"^(Language: French)"
-ESPERANTO_LINE = r"^(Language: Esperanto)"
-GENOME_LINE = r"^(Title: Human Genome Project)"
+CHARSET_NAME_LINE = r"^Character set encoding: ([^\r\n]+)"
+ASCII_LINE = r"^Character set encoding: ASCII"
+LANGUAGE_LINE = r"^Language: "
+GENOME_LINE = r"^Title: Human Genome Project"
 
 # Preference between editions of one book, by declared character set.
 RANK_UTF = 3

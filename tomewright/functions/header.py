@@ -16,6 +16,28 @@ from tomewright.functions.binding import bound
 LINE_STARTS = "(?md)"
 
 
+@dataclass(frozen=True)
+class BookFormat:
+    """Markers of a collection's files; they name its ``publisher``, as spelled in the files."""
+
+    publisher: str
+
+    def _marker(self, sides: tuple[str, str]) -> str:
+        return rf"{sides[0]}\Q{self.publisher}\E{sides[1]}"
+
+    @property
+    def start(self) -> str:
+        return self._marker(fv.START_MARKER)
+
+    @property
+    def end(self) -> str:
+        return self._marker(fv.END_MARKER)
+
+
+def language_line(language: str) -> str:
+    return fv.LANGUAGE_LINE + language
+
+
 def field(text: Column, pattern: str) -> Column:
     """First group of the first match, or null.  ``^`` stands for a line start."""
     return F.nullif(F.regexp_extract(text, LINE_STARTS + pattern, 1), F.lit(""))
@@ -30,10 +52,10 @@ def marker_split(content: Column, pattern: str, limit: int = -1) -> Column:
     return F.split(content, LINE_STARTS + pattern, limit)
 
 
-def without_footer(body: Column) -> Column:
+def without_footer(body: Column, book_format: BookFormat) -> Column:
     """Text before the end marker if there is exactly one, else all of it."""
     return bound(
-        marker_split(body, fv.END_MARKER),
+        marker_split(body, book_format.end),
         lambda parts: F.when(F.size(parts) == 2, parts[0]).otherwise(body),
     )
 
@@ -61,7 +83,7 @@ def charset_rank(declared: Column) -> Column:
 
 def language_is(header: Column, language: str) -> Column:
     """Whether the header declares ``language`` (its line starts with that name)."""
-    return has(header, f"^(Language: {language})")
+    return has(header, language_line(language))
 
 
 @dataclass(frozen=True)
@@ -78,4 +100,4 @@ class HeaderRules:
         return ~any_of(self.exclude, False) & any_of(self.include, True)
 
 
-DEFAULT_RULES = HeaderRules(exclude=(fv.GENOME_LINE,), include=(fv.ASCII_LINE, fv.ENGLISH_LINE))
+DEFAULT_RULES = HeaderRules(exclude=(fv.GENOME_LINE,), include=(fv.ASCII_LINE, language_line("English")))

@@ -17,14 +17,19 @@ SYMBOLS = {
     "\u00a0": " ", "¡": "!", "¦": "|", "¨": '"', "ª": "a", "¬": "!", "¯": "-", "²": "2", "³": "3", "´": "'",
     "µ": "u", "¶": "P", "·": "*", "¸": ",", "¹": "1", "º": "o", "¿": "?", "Ð": "D", "×": "x", "Ø": "O",
     "ð": "d", "÷": "/", "ø": "o", "Đ": "D", "đ": "d", "Ħ": "H", "ħ": "h", "ı": "i", "Ł": "L", "ł": "l",
-    "Ŧ": "T", "ŧ": "t", "‐": "-", "‑": "-", "–": "-", "‘": "'", "’": "'", "‚": ",", "“": '"', "”": '"',
+    "Ŧ": "T", "ŧ": "t", "ſ": "s", "ƒ": "f", "′": "'", "‹": "<", "›": ">", "‐": "-", "‑": "-", "–": "-", "‘": "'", "’": "'", "‚": ",", "“": '"', "”": '"',
 }
 # One character to several, or to none.
 EXPANSIONS = {
     "¢": "C/", "£": "PS", "¤": "$?", "¥": "Y=", "§": "SS", "©": "(c)", "«": "<<", "\u00ad": "", "®": "(r)",
     "°": "deg", "±": "+-", "»": ">>", "¼": "1/4", "½": "1/2", "¾": "3/4", "Æ": "AE", "Þ": "Th", "ß": "ss",
     "æ": "ae", "þ": "th", "Ĳ": "IJ", "ĳ": "ij", "Œ": "OE", "œ": "oe", "—": "--", "„": ",,", "…": "...",
+    "Ŋ": "NG", "ŋ": "ng", "ŉ": "'n", "ẞ": "SS", "€": "EUR", "™": "(tm)", "″": "''", "Ə": "@", "ə": "@",
+    "Ǆ": "DZ", "ǅ": "Dz", "ǆ": "dz", "Ǉ": "LJ", "ǈ": "Lj", "ǉ": "lj", "Ǌ": "NJ", "ǋ": "Nj", "ǌ": "nj",
+    "Ǳ": "DZ", "ǲ": "Dz", "ǳ": "dz",
 }
+# Marks that decomposed text puts after a letter; they go.
+COMBINING = "[\u0300-\u036f]"
 
 _LATIN = (range(0x00C0, 0x0250), range(0x1E00, 0x1F00))
 
@@ -50,5 +55,6 @@ def to_ascii(text: Column) -> Column:
     changed = F.translate(text, "".join(LETTERS), "".join(LETTERS.values()))
     for char, replacement in EXPANSIONS.items():
         changed = F.replace(changed, F.lit(char), F.lit(replacement))
+    changed = F.regexp_replace(changed, COMBINING, "")
     return F.when(text.rlike(r"[^\x00-\x7F]"), changed).otherwise(text)
 

@@ -38,10 +38,13 @@ def singulars(words: Column) -> Column:
 
 
 def drop_listed(words: Column, stop_words: Sequence[str], ignore_case: bool = False) -> Column:
-    """Remove listed words from an array (a hash-set probe for each word)."""
+    """Remove listed words from an array (a hash-set probe for each word).
+
+    ``ignore_case`` compares both sides in lower case.
+    """
     if not stop_words:
         return words
-    listed = sorted(set(stop_words))
+    listed = sorted({word.lower() if ignore_case else word for word in stop_words})
 
     def kept(w: Column) -> Column:
         return ~(F.lower(w) if ignore_case else w).isin(listed)

@@ -16,12 +16,12 @@ from tomewright.sources.artifacts import staged
 from tomewright.sources.files import text_lines
 
 
-def split_header(files: DataFrame) -> DataFrame:
+def split_header(files: DataFrame, book_format: h.BookFormat) -> DataFrame:
     """Adds ``header`` and ``body`` in place of ``content``.
 
     A file stays only if it has exactly one start marker.
     """
-    parts = F.array(h.marker_split(F.col("content"), fv.START_MARKER))
+    parts = F.array(h.marker_split(F.col("content"), book_format.start))
     halves = F.transform(
         F.filter(parts, lambda p: F.size(p) == 2),
         lambda p: F.struct(p[0].alias("header"), p[1].alias("body")),
@@ -29,14 +29,14 @@ def split_header(files: DataFrame) -> DataFrame:
     return rows_of(files, halves, *[c for c in files.columns if c != "content"], required="header")
 
 
-def documents(files: DataFrame, rules: h.HeaderRules | None = None) -> DataFrame:
+def documents(files: DataFrame, book_format: h.BookFormat, rules: h.HeaderRules | None = None) -> DataFrame:
     """Documents of whole book files: ``path, doc_id, enc_rank, body``.
 
     Drops files without exactly one start marker, without text after it, without
     a book id in the header, or rejected by the header ``rules``.  Bodies that
     declare a character set other than UTF or ASCII are transliterated.
     """
-    books = split_header(files).where(F.col("body") != "")
+    books = split_header(files, book_format).where(F.col("body") != "")
     if rules:
         books = books.where(rules.keeps(F.col("header")))
     declared = h.charset(F.col("header"))
@@ -48,7 +48,7 @@ def documents(files: DataFrame, rules: h.HeaderRules | None = None) -> DataFrame
             h.canonical_id(h.book_id(F.col("header"))).alias("doc_id"),
             rank.alias("enc_rank"),
             bound(
-                h.without_footer(F.col("body")), lambda body: F.when(foreign, to_ascii(body)).otherwise(body)
+                h.without_footer(F.col("body"), book_format), lambda body: F.when(foreign, to_ascii(body)).otherwise(body)
             ).alias("body"),
         )
     )
@@ -58,14 +58,14 @@ def with_id_only(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull())
 
 
-def documents_unfiltered(files: DataFrame, english_only: bool = False) -> DataFrame:
+def documents_unfiltered(files: DataFrame, book_format: h.BookFormat, english_only: bool = False) -> DataFrame:
     """Id anywhere in the file, and everything after the first start marker.
 
     ``doc_id`` and ``body`` are null where they are not found; with
     ``english_only`` both are null unless some line declares English.
     """
     content = F.col("content")
-    body = bound(h.marker_split(content, fv.START_MARKER, 2), lambda p: F.when(F.size(p) == 2, p[1]))
+    body = bound(h.marker_split(content, book_format.start, 2), lambda p: F.when(F.size(p) == 2, p[1]))
     doc_id = h.canonical_id(h.book_id(content))
     if english_only:
         english = h.language_is(content, "English")
@@ -74,7 +74,7 @@ def documents_unfiltered(files: DataFrame, english_only: bool = False) -> DataFr
 
 
 def line_documents(
-    files: DataFrame, rules: h.HeaderRules | None = None, cut_footer: bool = False
+    files: DataFrame, book_format: h.BookFormat, rules: h.HeaderRules | None = None, cut_footer: bool = False
 ) -> DataFrame:
     """Documents by lines: ``path, doc_id, body``, body lines joined by a space.
 
@@ -91,7 +91,7 @@ def line_documents(
         if not cut_footer:
             return lines
         return bound(
-            marked(lines, fv.END_MARKER),
+            marked(lines, book_format.end),
             lambda ends: F.when(
                 F.size(F.filter(ends, lambda e: e)) == 1,
                 F.slice(lines, 1, F.array_position(ends, True).cast("int") - 1),
@@ -100,7 +100,7 @@ def line_documents(
 
     def halves(lines: Column) -> Column:
         return bound(
-            F.array_position(marked(lines, fv.START_MARKER), True).cast("int"),
+            F.array_position(marked(lines, book_format.start), True).cast("int"),
             lambda at: F.struct(
                 at.alias("at"),
                 F.array_join(F.slice(lines, 1, at), "\n").alias("header"),
@@ -129,16 +129,20 @@ def line_documents(
 def one_per_key(rows: DataFrame, key: str, *preference: Column, row_id: str = "path") -> DataFrame:
     """Keep one row for each ``key``: the least by ``preference``, then by ``row_id``.
 
-    ``row_id`` is unique, so the winners are found on narrow columns: a group
-    is reduced before the shuffle however many copies it has, and the joins are
-    on the unique ``row_id``, which cannot be skewed.  The losers are written
-    out first; their real size then lets Spark broadcast them while they are few
-    (no wide row moves), or sort-merge if they are not.
+    Winners are found on narrow columns: a group is reduced before the shuffle
+    however many copies it has.  ``row_id`` names a row, as a path does a file: of
+    rows that repeat one, as overlapping folders give them, one is kept too.  The
+    narrow columns are written once and read by both steps, so ``rows`` is
+    evaluated twice: for them, and for the result.  Losers are written with their
+    real size, which lets Spark broadcast them while they are few (no wide row
+    moves), or sort-merge if they are not.
     """
-    narrow = rows.select(key, F.struct(*preference, F.col(row_id).alias("row_id")).alias("place"))
-    winners = narrow.groupBy(key).agg(F.min("place").alias("place")).select(F.col("place.row_id").alias(row_id))
-    losers = rows.select(row_id).join(winners, row_id, "left_anti")
-    return rows.join(staged(losers, "losers"), row_id, "left_anti")
+    tickets = staged(rows.select(key, F.struct(*preference, F.col(row_id).alias("row_id")).alias("place")), "places")
+    winners = tickets.groupBy(key).agg(F.min("place").alias("place")).select(F.col("place.row_id").alias(row_id))
+    losers = tickets.select(F.col("place.row_id").alias(row_id)).join(winners, row_id, "left_anti")
+    kept = rows.join(staged(losers.distinct(), "losers"), row_id, "left_anti")
+    most = tickets.groupBy("place.row_id").count().agg(F.max("count")).first()[0] or 0
+    return kept.dropDuplicates([row_id]) if most > 1 else kept
 
 
 def best_edition(rows: DataFrame, key: str = "doc_id", row_id: str = "path") -> DataFrame:

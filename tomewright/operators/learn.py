@@ -6,6 +6,7 @@ dozen at most; each step of a loop is a distributed fit or evaluation.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
@@ -15,13 +16,15 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomewright import fixed_values as fv
+from tomewright.functions.hashing import term_hash
 from tomewright.operators.subjects import book_subjects, top_subjects
-from tomewright.sources.artifacts import kept, staged
+from tomewright.sources.artifacts import staged
 
 ERRORS = (
     "subject string, method string, setting string, value double, chosen boolean, "
@@ -59,15 +62,18 @@ def default_methods() -> list[Method]:
 
 
 def with_parts(rows: DataFrame, key: str, testing: float = 0.25, folds: int = 3, seed: int = 0) -> DataFrame:
-    """Adds ``testing boolean`` and ``fold int`` by a hash of the key.
+    """Adds ``testing boolean`` and ``fold int`` by a portable hash of the key.
 
     Unlike a random split it is the same after a retry and for any partitioning.
     """
-    ticket = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(1_000_000))
+
+    def ticket(salt: int) -> Column:
+        return term_hash(F.concat_ws("|", F.lit(str(salt)), F.col(key).cast("string")))
+
     return rows.withColumns(
         {
-            "testing": ticket < int(testing * 1_000_000),
-            "fold": F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key).cast("string")), F.lit(folds)).cast("int"),
+            "testing": ticket(seed) % 1_000_000 < int(testing * 1_000_000),
+            "fold": (ticket(seed + 1) % folds).cast("int"),
         }
     )
 
@@ -98,7 +104,6 @@ def subject_errors(
     also chooses the value (``chosen``).  A method without values has one row
     without validation error.
     """
-    rows = kept(rows)
     tasks = [(place, name, method) for place, name in enumerate(names) for method in methods or default_methods()]
 
     def run(task: tuple[int, str, Method]) -> list[tuple]:
@@ -110,7 +115,6 @@ def subject_errors(
     spark = rows.sparkSession
     with ThreadPool(parallelism) as pool:
         table = [row for found in pool.map(inheritable_thread_target(spark)(run), tasks) for row in found]
-    rows.unpersist()
     return spark.createDataFrame(table, ERRORS)
 
 
@@ -156,13 +160,22 @@ def compare_features(
 ) -> DataFrame:
     """``subject_errors`` for several sets of vectors, named in the column ``features``.
 
-    For vector sizes, and for single against double hashing.
+    For vector sizes, and for single against double hashing.  ``seconds`` is the
+    time of all fits and evaluations of a set, ``vector_bytes`` what its vectors
+    take: 12 bytes for each filled cell.
     """
     methods = list(methods or default_methods())
     result = None
     for name, vectors in features.items():
         rows, names = labelled(vectors, metadata, k, key, folds)
-        errors = subject_errors(rows, names, methods, folds).withColumn("features", F.lit(name))
+        started = time.perf_counter()
+        errors = subject_errors(rows, names, methods, folds)
+        seconds = time.perf_counter() - started
+        filled = rows.select(Summarizer.numNonZeros(F.col("features")).alias("n")).first().n
+        size = int(filled.toArray().sum()) * 12 if filled is not None else 0
+        errors = errors.withColumns(
+            {"features": F.lit(name), "seconds": F.lit(seconds), "vector_bytes": F.lit(size).cast("bigint")}
+        )
         result = errors if result is None else result.unionByName(errors)
     return result
 
@@ -183,7 +196,7 @@ def birth_year_regression(
         F.min("birth_year").cast("double").alias("label")
     )
     joined = vectors.withColumn(key, F.col(key).cast("string")).join(years, key)
-    rows = kept(staged(with_parts(joined, key, seed=seed), "birth_years"))
+    rows = staged(with_parts(joined, key, seed=seed), "birth_years")
     table = []
     for penalty in penalties:
         lasso = LinearRegression(elasticNetParam=1.0, regParam=penalty, maxIter=50)
@@ -196,6 +209,4 @@ def birth_year_regression(
             (float(penalty), train.rmse, test.rmse if test else None, int(model.coefficients.numNonzeros()),
              train.n, test.n if test else 0)
         )
-    spark = rows.sparkSession
-    rows.unpersist()
-    return spark.createDataFrame(table, REGRESSION)
+    return rows.sparkSession.createDataFrame(table, REGRESSION)

@@ -19,9 +19,6 @@ from tomewright.functions.binding import rows_of
 from tomewright.functions.latin import to_ascii
 from tomewright.sources.artifacts import staged
 
-# A stop list up to this many words is used as a hash set inside each row.
-MAX_LISTED = 20_000
-
 
 def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", ascii_only: bool = False) -> DataFrame:
     """Tidy tokens ``key, raw, term``, one row per word occurrence."""
@@ -43,44 +40,30 @@ def profiles(
     min_term_len: int = 0,
     transliterate: bool = False,
     drop_empty: bool = True,
-    max_listed: int = MAX_LISTED,
 ) -> DataFrame:
     """Profile of each row of ``docs``: ``key, carry..., max_n, terms``.
 
-    ``key`` must be unique; ``merged`` handles keys that are not.  Rows without
-    a surviving term are dropped unless ``drop_empty`` is off; then their
-    ``max_n`` is null.  ``ascii_only`` splits at everything but ASCII
-    word characters and keeps empty words.  A word is dropped if its term is
-    listed, and with ``stop_raw`` also if the word itself is listed, as written
-    or, with ``ignore_case``, in lower case.  ``stop_words`` may be a DataFrame
-    with the column ``word``: a list of up to ``max_listed`` words becomes a hash
-    set, a longer one is joined.
+    Each row has its own profile, whether or not another has its ``key``;
+    ``merged`` combines rows of one key.  Rows without a surviving term are
+    dropped unless ``drop_empty`` is off; then their ``max_n`` is null.
+    ``ascii_only`` splits at everything but ASCII word characters and keeps empty
+    words.  A word is dropped if its term is listed, and with ``stop_raw`` also if
+    the word itself is listed; ``ignore_case`` compares words and list in lower case.
+
+    ``stop_words`` is a sequence for a list that fits a plan (some hundred words),
+    probed inside each row, or a DataFrame with the column ``word`` for a list of
+    any length, which is joined.  Both give the same rows.
     """
     source = to_ascii(F.col(text)) if transliterate else F.col(text)
     raw = (w.ascii_words if ascii_only else w.unicode_words)(source)
-    listed: Sequence[str] = ()
     if isinstance(stop_words, DataFrame):
-        distinct = stop_words.select("word").distinct()
-        head = distinct.limit(max_listed + 1).collect()
-        if len(head) > max_listed:
-            counted = _counts_by_join(
-                _with_max(docs, [key, *carry], w.runs(F.sort_array(raw))),
-                [key, *carry], staged(distinct, "stop_words"), stop_raw, ignore_case,
-            )
-            if min_term_len:
-                counted = counted.where(F.length("term") >= min_term_len)
-            found = nested(counted, key, carry)
-            if drop_empty:
-                return found
-            return docs.select(key, *carry).join(found.drop(*carry), key, "left").withColumn(
-                "terms", F.coalesce("terms", F.array().cast(w.TERMS_TYPE))
-            )
-        listed = [row.word for row in head]
-    elif stop_words:
-        listed = stop_words
+        return _with_joined_list(
+            docs, [key, *carry], w.runs(F.sort_array(raw)), stop_words, stop_raw, ignore_case, min_term_len, drop_empty
+        )
+    listed = list(stop_words or ())
     if stop_raw:
         raw = w.drop_listed(raw, listed, ignore_case)
-    terms = w.drop_listed(w.singulars(raw), listed)
+    terms = w.drop_listed(w.singulars(raw), listed, ignore_case)
     if min_term_len:
         terms = F.filter(terms, lambda t: F.length(t) >= min_term_len)
     return _with_max(docs, [key, *carry], w.runs(F.sort_array(terms)), drop_empty)
@@ -98,22 +81,33 @@ def _with_max(rows: DataFrame, keep: Sequence[str], terms: Column, drop_empty: b
     return rows_of(rows, profile, *keep, required="max_n" if drop_empty else "terms")
 
 
-def _counts_by_join(
-    raw_profile: DataFrame, keep: Sequence[str], stop: DataFrame, stop_raw: bool, ignore_case: bool
+def _with_joined_list(
+    docs: DataFrame, keep: list[str], raw_terms: Column, stop_words: DataFrame,
+    stop_raw: bool, ignore_case: bool, min_term_len: int, drop_empty: bool,
 ) -> DataFrame:
-    """Tidy counts after a stop list of any length.
+    """Profiles after a stop list of any length.
 
     Words are counted inside the row first, so a frequent word reaches the join
-    once per document; the list is a written table, hence a plain shuffle join
-    that adaptive execution can split where words are skewed.
+    once per row.  Those counts are written with a number for each row, which the
+    regrouping uses; the list is written too, so that Spark knows its size:
+    a small one is broadcast, a long one joined by a shuffle that adaptive
+    execution can split where words are skewed.
     """
-    rows = raw_profile.select(*keep, F.inline_outer("terms")).withColumnRenamed("term", "raw")
+    word = F.lower("word") if ignore_case else F.col("word")
+    stop = staged(stop_words.select(word.alias("word")).distinct(), "stop_words")
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    raw = staged(_with_max(numbered, ["_row", *keep], raw_terms, drop_empty=False).drop("max_n"), "raw_counts")
+    rows = raw.select("_row", F.inline("terms")).withColumnRenamed("term", "raw")
     if stop_raw:
         probe = F.lower("raw") if ignore_case else F.col("raw")
         rows = rows.withColumn("probe", probe).join(stop.withColumnRenamed("word", "probe"), "probe", "left_anti")
     rows = rows.withColumn("term", w.singular(F.col("raw")))
     rows = rows.join(stop.withColumnRenamed("word", "term"), "term", "left_anti")
-    return rows.groupBy(*keep, "term").agg(F.sum("n").alias("n"))
+    if min_term_len:
+        rows = rows.where(F.length("term") >= min_term_len)
+    counts = rows.groupBy("_row", "term").agg(F.sum("n").alias("n"))
+    found = raw.select("_row", *keep).join(nested(counts, "_row"), "_row", "inner" if drop_empty else "left")
+    return found.select(*keep, "max_n", F.coalesce("terms", F.array().cast(w.TERMS_TYPE)).alias("terms"))
 
 
 def term_counts(profile: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructField, StructType
 
 from tomewright import fixed_values as fv
 from tomewright.functions import hashing
-from tomewright.operators.weights import term_frequency, vocabulary, with_vocabulary
+from tomewright.operators.weights import BROADCAST_BYTES, term_frequency, vocabulary, with_vocabulary
 from tomewright.sources.artifacts import stage, staged
 
 
@@ -22,6 +22,7 @@ def hash_cells(
     smoothing: float = fv.TF_SMOOTHING,
     n_docs: int | None = None,
     by_document: bool = False,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``key, bucket, value``: absolute value of the signed TF.IDF sum of each bucket.
 
@@ -41,7 +42,7 @@ def hash_cells(
         "term", "df", (hashing.sign(F.col("term")) * F.col("idf")).alias("signed_idf"),
         F.array(*places).alias("buckets"),
     )
-    rows = with_vocabulary(term_frequency(profile, key, smoothing), staged(words, "hashed_vocabulary"))
+    rows = with_vocabulary(term_frequency(profile, key, smoothing), staged(words, "hashed_vocabulary"), broadcast_bytes)
     value = (F.col("tf") * F.col("signed_idf")).alias("value")
     if len(sizes) == 1:
         cells = rows.select(key, F.col("buckets")[0].alias("bucket"), value)

@@ -12,10 +12,10 @@ from tomewright.sources.artifacts import staged
 BROADCAST_BYTES = 64 << 20
 ROW_OVERHEAD = 120
 # In a larger one, terms that hold at least this share of all rows are called hot.
-# There cannot be more than 1 / HOT_SHARE of them, and a hot term is short, which
-# bounds their broadcast to some ten MB whatever the size of the data.
+# There cannot be more than 1 / HOT_SHARE of them; the most frequent of them that
+# together take at most HOT_BYTES are broadcast.
 HOT_SHARE = 1 / 50_000
-HOT_TERM_LENGTH = 64
+HOT_BYTES = 64 << 20
 
 
 def document_count(profile: DataFrame) -> DataFrame:
@@ -57,17 +57,25 @@ def with_vocabulary(rows: DataFrame, words: DataFrame, broadcast_bytes: int = BR
     Its size is measured first, and a small one is broadcast.  Otherwise only the
     hot terms are, which hold most rows of a text collection: those rows do not
     move.  The rest is joined by shuffle, where no term is left that could
-    overload a task.
+    overload a task.  ``rows`` is evaluated once: hot terms are looked up first,
+    and the rows are written with what was found.
     """
     size = words.agg(
         F.count("*").alias("words"), F.sum(F.octet_length("term")).alias("bytes"), F.sum("df").alias("rows")
     ).first()
     if (size.bytes or 0) + size.words * ROW_OVERHEAD <= broadcast_bytes:
         return rows.join(F.broadcast(words), "term")
-    is_hot = (F.col("df") >= size.rows * HOT_SHARE) & (F.length("term") <= HOT_TERM_LENGTH)
-    hot = words.where(is_hot)
-    rare = rows.join(F.broadcast(hot.select("term")), "term", "left_anti")
-    return rows.join(F.broadcast(hot), "term").unionByName(rare.join(words.where(~is_hot), "term"))
+    # At most 1 / HOT_SHARE rows are put in order here.
+    above = words.where(F.col("df") >= size.rows * HOT_SHARE)
+    so_far = F.sum(F.octet_length("term") + ROW_OVERHEAD).over(Window.orderBy(F.desc("df"), "term"))
+    hot = staged(above.withColumn("so_far", so_far).where(F.col("so_far") <= HOT_BYTES).drop("so_far"), "hot_terms")
+    more = [c for c in words.columns if c != "term"]
+    told = hot.select("term", F.struct(*more).alias("_word"))
+    marked = staged(rows.join(F.broadcast(told), "term", "left"), "marked")
+    found = marked.where(F.col("_word").isNotNull()).select(*rows.columns, "_word.*")
+    rest = marked.where(F.col("_word").isNull()).drop("_word")
+    others = words.join(F.broadcast(hot.select("term")), "term", "left_anti")
+    return found.unionByName(rest.join(others, "term"))
 
 
 def tfidf(

@@ -6,19 +6,20 @@ and split once; what moves between executors afterwards are counts, never texts.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewright import fixed_values as fv
-from tomewright.functions.header import HeaderRules
+from tomewright.functions.header import BookFormat, HeaderRules
 from tomewright.operators import extract
 from tomewright.operators.postings import merged_postings, posting_lists
 from tomewright.operators.profiles import merged, profiles
 from tomewright.operators.vectors import hash_cells, load_vectors, vector_rows
 from tomewright.sources import files as src
-from tomewright.sources.artifacts import read_or_build, staged
+from tomewright.sources.artifacts import qualified, read_or_build, staged
 from tomewright.sources.metadata import metadata_files
 
 StopWords = Sequence[str] | DataFrame | None
@@ -29,15 +30,24 @@ def stored_books(spark: SparkSession, folders: Sequence[str], out: str) -> DataF
 
     Every folder is listed and stored on its own, so the driver never holds the
     listing of a whole collection of small files, and a second call goes on with
-    the folders that are not complete.
+    the folders that are not complete.  A part is named by a hash of its folder's
+    full path, and the result has exactly the folders asked for, each once.
+    Nested folders are refused.  Texts are decoded by their declared charset.
     """
-    for place, folder in enumerate(folders):
-        read_or_build(spark, f"{out}/folder={place}", lambda folder=folder: src.book_files(spark, folder))
-    return spark.read.parquet(out).drop("folder")
+    paths = [qualified(spark, folder) for folder in folders]
+    for one in paths:
+        for other in paths:
+            if one != other and one.startswith(other.rstrip("/") + "/"):
+                raise ValueError(f"{one} lies in {other}: its books would be stored twice")
+    parts = {path: f"{out.rstrip('/')}/folder_{hashlib.sha256(path.encode()).hexdigest()[:32]}" for path in paths}
+    for path, part in parts.items():
+        read_or_build(spark, part, lambda path=path: src.book_files_by_charset(spark, path))
+    return spark.read.parquet(*parts.values())
 
 
 def book_profiles(
     files: DataFrame,
+    book_format: BookFormat,
     rules: HeaderRules | None = None,
     stop_words: StopWords = None,
     transliterate: bool = False,
@@ -47,19 +57,20 @@ def book_profiles(
     Editions are weeded out after counting: counting is row-local, and profiles
     are a fraction of the texts, so the texts are read once and never moved.
     """
-    docs = extract.documents(files, rules)
+    docs = extract.documents(files, book_format, rules)
     return _one_edition(docs, extract.best_edition, ["doc_id", "enc_rank"], stop_words, transliterate)
 
 
 def line_book_profiles(
     files: DataFrame,
+    book_format: BookFormat,
     rules: HeaderRules | None = None,
     stop_words: StopWords = None,
     transliterate: bool = False,
     cut_footer: bool = False,
 ) -> DataFrame:
     """Profiles by line-wise extraction, of the first edition of each book."""
-    docs = extract.line_documents(files, rules, cut_footer)
+    docs = extract.line_documents(files, book_format, rules, cut_footer)
     return _one_edition(docs, extract.first_edition, ["doc_id"], stop_words, transliterate)
 
 
@@ -75,28 +86,29 @@ def book_vectors(
     spark: SparkSession,
     text: str | DataFrame,
     out: str,
+    book_format: BookFormat,
     stop_path: str | None = None,
     rules: HeaderRules | None = None,
     smaller_than: int | None = None,
     transliterate: bool = False,
     n_docs: int | None = None,
     size: int | Sequence[int] = fv.VECTOR_SIZE,
+    by_line: bool = False,
 ) -> DataFrame:
     """Hashed TF.IDF vectors of all books, stored at ``out``.
 
     ``text`` is a folder or the rows of ``stored_books``.  A finished result at
-    ``out`` is loaded instead.  A size limit on the files selects line-wise
-    extraction.
+    ``out`` is loaded instead.  ``smaller_than`` leaves out files of that many
+    bytes or more and changes nothing else; ``by_line`` selects line-wise extraction.
+    Files are decoded by the charset that each declares.
     """
 
     def build() -> DataFrame:
-        found = src.book_files(spark, text) if isinstance(text, str) else text
+        found = src.book_files_by_charset(spark, text) if isinstance(text, str) else text
         if smaller_than is not None:
             found = found.where(F.col("file_size") < smaller_than)
         stop = src.stop_words(spark, stop_path) if stop_path else None
-        profile = (line_book_profiles if smaller_than is not None else book_profiles)(
-            found, rules, stop, transliterate
-        )
+        profile = (line_book_profiles if by_line else book_profiles)(found, book_format, rules, stop, transliterate)
         total = size if isinstance(size, int) else sum(size)
         return vector_rows(hash_cells(profile, size, n_docs=n_docs, by_document=True), total)
 
@@ -109,13 +121,13 @@ def book_metadata(spark: SparkSession, path: str, out: str) -> DataFrame:
     return read_or_build(spark, out, lambda: metadata_files(spark, path))
 
 
-def file_index(files: DataFrame, stop_words: StopWords = None) -> DataFrame:
+def file_index(files: DataFrame, block: int, stop_words: StopWords = None) -> DataFrame:
     """Inverted index over file names, from ASCII words without headers removed.
 
-    Files of one name in several folders count as one.
+    Files of one name in several folders count as one; ``block`` is that of ``posting_lists``.
     """
     counted = profiles(
         files, "path", "content", carry=["file_name"], ascii_only=True, stop_words=stop_words, stop_raw=False
     )
     by_name = staged(merged(counted, "file_name"), "counts")
-    return posting_lists(merged_postings(by_name, "file_name"), "file_name")
+    return posting_lists(merged_postings(by_name, "file_name"), block, "file_name")

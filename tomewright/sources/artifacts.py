@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -11,25 +10,28 @@ from contextvars import ContextVar
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-_local_root: list[str] = []
 # Paths staged inside the innermost ``temporary_tables`` block of this thread.
 _in_block: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for staged tables: ``spark.checkpoint.dir`` of the session.
+    """Folder for staged tables, shared by all executors.
 
-    Only a session on a local master may go without that setting; a cluster
-    needs a folder that every executor reaches.
+    ``spark.checkpoint.dir`` of the session, else a folder in its warehouse.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _local_root:
-        _local_root.append(tempfile.mkdtemp(prefix="tomewright-"))
-    return _local_root[0]
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staged"
+
+
+def _folder(spark: SparkSession, path: str):
+    """A path with its file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The full path with its file system, the same for every spelling of a folder."""
+    folder, system = _folder(spark, path)
+    return system.makeQualified(folder).toString()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -59,8 +61,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def stage(df: DataFrame, name: str) -> str:
-    """Write ``df`` to the shared folder and return the path."""
-    path = store(df, new_path(df.sparkSession, name))
+    """Write ``df`` to the shared folder and return the path.
+
+    The table is deleted when the application ends, or before by ``temporary_tables``.
+    """
+    path = new_path(df.sparkSession, name)
+    store(df, path)
+    folder, system = _folder(df.sparkSession, path)
+    system.deleteOnExit(folder)
     block = _in_block.get()
     if block is not None:
         block.append(path)
@@ -81,19 +89,18 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
     finally:
         _in_block.reset(outer)
         for path in paths:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            folder, system = _folder(spark, path)
+            system.delete(folder, True)
 
 
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a finished write left its success marker at ``path``."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    marker, system = _folder(spark, f"{path}/_SUCCESS")
+    return system.exists(marker)
 
 
 def _refuse_foreign_files(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    folder, system = _folder(spark, path)
     if system.exists(folder):
         names = [status.getPath().getName() for status in system.listStatus(folder)]
         foreign = [name for name in names if not name.startswith(("part-", "_", "."))]

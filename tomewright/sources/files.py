@@ -36,25 +36,31 @@ def book_files(
     return files
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Rows of a scan over all cores, if the scan alone would leave cores idle.
+# Names of character sets that files declare, without spaces, hyphens and underscores.
+CHARSETS = {
+    "latin-1": ("ISO88591", "LATIN1", "ISOLATIN1", "L1"),
+    "iso8859-2": ("ISO88592", "LATIN2", "ISOLATIN2", "L2"),
+    "iso8859-15": ("ISO885915", "LATIN9", "ISOLATIN9", "L9"),
+    "cp1252": ("WINDOWS1252", "CP1252", "CODEPAGE1252", "ANSI", "ISO88591WINDOWS1252"),
+}
 
-    A single small file or row group is one task.  A large scan has more tasks
-    than cores and is returned as it is: its texts are not shuffled.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+def _changed_letters(charset: str) -> tuple[str, str]:
+    """Characters that a single-byte charset has in other places than ISO-8859-1, and what is there."""
+    pairs = [(chr(b), bytes([b]).decode(charset, "replace")) for b in range(0x80, 0x100)]
+    differ = [(a, c) for a, c in pairs if a != c and c != "\ufffd"]
+    return "".join(a for a, _ in differ), "".join(c for _, c in differ)
 
 
 def book_files_by_charset(
-    spark: SparkSession, path: str | list[str], smaller_than: int | None = None
+    spark: SparkSession, path: str | list[str], recursive: bool = True, smaller_than: int | None = None
 ) -> DataFrame:
     """Like ``book_files``, each file decoded by the charset that it declares.
 
     ISO-8859-1 maps every byte, so the header is readable before the charset is
     known.  Files without a known declaration are read as UTF-8.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
     if smaller_than is not None:
         files = files.where(F.col("length") < smaller_than)
     return files.select(
@@ -66,12 +72,21 @@ def book_files_by_charset(
 
 
 def decoded(content: Column) -> Column:
-    """Bytes of a book file as text."""
+    """Bytes of a book file as text.
+
+    ``CHARSETS`` lists the single-byte character sets that are known; any other
+    declaration, or none, reads as UTF-8 with invalid bytes replaced.
+    """
 
     def chosen(latin: Column) -> Column:
-        name = F.upper(header.field(latin, fv.CHARSET_NAME_LINE))
-        as_utf = F.make_valid_utf8(content.cast("string"))
-        return F.when(F.startswith(name, F.lit("ISO-8859-1")), latin).otherwise(as_utf)
+        said = header.field(latin, fv.CHARSET_NAME_LINE)
+        name = F.upper(F.regexp_replace(F.regexp_replace(said, r"[\s_-]|\(.*\)|\bencoding\b", ""), r"[.,;].*$", ""))
+        text = None
+        for charset, names in CHARSETS.items():
+            letters = _changed_letters(charset)
+            own = F.translate(latin, *letters) if letters[0] else latin
+            text = F.when(name.isin(*names), own) if text is None else text.when(name.isin(*names), own)
+        return text.otherwise(F.make_valid_utf8(content.cast("string")))
 
     return bound(F.decode(content, "ISO-8859-1"), chosen)
 
