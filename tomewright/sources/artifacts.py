@@ -67,14 +67,19 @@ def stage(df: DataFrame, name: str) -> str:
     """
     path = new_path(df.sparkSession, name)
     store(df, path)
-    folder, system = _folder(df.sparkSession, path)
-    system.deleteOnExit(folder)
+    delete_at_end(df.sparkSession, path)
     block = _in_block.get()
     if block is not None:
         block.append(path)
     return path
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete an existing path when the application ends."""
+    folder, system = _folder(spark, path)
+    system.deleteOnExit(folder)
+
+
 @contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[None]:
     """Delete the tables that were staged inside the block when it ends.
