@@ -19,8 +19,8 @@ WINDOW = 20
 GRAM = 8
 BLOCK_BYTES = 4 << 20
 CHUNK_BYTES = 1 << 20
-#: Windows in one automaton; a block with more compiles one after the other.
-AUTOMATON_WINDOWS = 50_000
+#: Words of all passages in one automaton; a block with more compiles one after the other.
+AUTOMATON_WORDS = 200_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -154,7 +154,6 @@ class Candidates:
         self.keys = keys[new]
         self.number = np.cumsum(new) - 1
         self.count = np.bincount(self.number, minlength=len(self.keys))
-        self.sample = np.flatnonzero(new)  # one place of each key
 
 
 def _block_rows(docs: pa.Table) -> tuple[list[int | None], list[bytes]]:
@@ -200,43 +199,61 @@ def _letters(numbers: np.ndarray) -> str:
     return (numbers + np.where(numbers >= 0xD800 - 1, 0x800 + 1, 1)).astype("<u4").tobytes().decode("utf-32-le")
 
 
+def _passages(found: Candidates, recurring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of recurring windows in the order of texts, and where a run of consecutive ones begins in it.
+
+    A run is a maximal recurring passage of its text.
+    """
+    at = np.flatnonzero(recurring[found.number])
+    at = at[np.lexsort((found.start[at], found.doc[at]))]
+    doc, start = found.doc[at], found.start[at]
+    return at, np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(start, prepend=-2) != 1))
+
+
 def removed_words(words: list[list[bytes]], ids: list[int | None], found: Candidates, earlier: np.ndarray) -> list[np.ndarray]:
     """For each text of a block, which words go.
 
-    Automata over word numbers, each with some of the confirmed windows, stream
-    all texts and report every occurrence.  An occurrence goes if an earlier
-    block has the window, or an earlier document or place in this block.
+    The maximal recurring passages of all texts, each distinct one once, are
+    compiled into automata over word numbers, some ``AUTOMATON_WORDS`` words at a
+    time.  Every automaton streams all texts and reports each occurrence of its
+    passages, and so of all their windows.  An occurrence of a window goes if an
+    earlier block has it, or an earlier document or place in this block.
     """
     gone = [np.zeros(len(w), bool) for w in words]
-    recurring = np.flatnonzero(earlier | (found.count > 1))
-    if not len(recurring):
+    at, begins = _passages(found, earlier | (found.count > 1))
+    if not len(at):
         return gone
     numbers: dict[bytes, int] = {}
     coded = [_letters(np.array([numbers.setdefault(w, len(numbers)) for w in t], np.int64)) for t in words]
-    rank = np.unique([(i is None, i or 0) for i in ids], axis=0, return_inverse=True)[1].ravel()
-    doc_of, start_of = found.doc[found.sample], found.start[found.sample]
-    for at in range(0, len(recurring), AUTOMATON_WINDOWS):
-        some = recurring[at : at + AUTOMATON_WINDOWS]
+    distinct: dict[str, np.ndarray] = {}
+    for run in np.split(at, begins[1:]):
+        doc, start = int(found.doc[run[0]]), int(found.start[run[0]])
+        distinct.setdefault(coded[doc][start : start + len(run) + WINDOW - 1], found.number[run])
+    offset = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    located = np.full(int(offset[-1]), -1, np.int64)  # the window that starts at each word, if it was found
+    passages = list(distinct)
+    for a, b in chunks(map(len, passages), AUTOMATON_WORDS):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for k, (d, s) in enumerate(zip(doc_of[some].tolist(), start_of[some].tolist(), strict=True)):
-            automaton.add_word(coded[d][s : s + WINDOW], k)
+        for k in range(a, b):
+            automaton.add_word(passages[k], k)
         automaton.make_automaton()
-        docs, places, which = [], [], []
-        for d, text in enumerate(coded):
-            if len(text) >= WINDOW:
-                hits = list(automaton.iter(text))
-                docs.append(np.full(len(hits), d))
-                places.append(np.array([end for end, _ in hits], np.int64) - WINDOW + 1)
-                which.append(np.array([k for _, k in hits], np.int64))
-        docs, places, which = np.concatenate(docs), np.concatenate(places), np.concatenate(which)
-        order = np.lexsort((places, rank[docs], which))
-        docs, places, which = docs[order], places[order], which[order]
-        head = np.flatnonzero(np.diff(which, prepend=-1))[np.unique(which, return_inverse=True)[1]]
-        first = (rank[docs] == rank[docs[head]]) & (places == places[head])
-        late = ~first | earlier[some[which]]
-        for d, s in zip(docs[late].tolist(), places[late].tolist(), strict=True):
-            gone[d][s : s + WINDOW] = True
-    return gone
+        for first, text in zip(offset.tolist(), coded, strict=False):
+            for end, k in automaton.iter(text):
+                place = first + end + 1 - len(passages[k])
+                located[place : place + len(passages[k]) - WINDOW + 1] = distinct[passages[k]]
+    place = np.flatnonzero(located >= 0)
+    which, doc = located[place], np.searchsorted(offset, place, side="right") - 1
+    rank = np.unique([(i is None, i or 0) for i in ids], axis=0, return_inverse=True)[1].ravel()[doc]
+    start = place - offset[doc]
+    order = np.lexsort((start, rank, which))
+    place, which, rank, start = place[order], which[order], rank[order], start[order]
+    group = np.cumsum(np.diff(which, prepend=-1) != 0) - 1
+    head = np.flatnonzero(np.diff(which, prepend=-1))[group]
+    late = place[(rank != rank[head]) | (start != start[head]) | earlier[which]]
+    depth = np.zeros(int(offset[-1]) + 1, np.int32)
+    np.add.at(depth, late, 1)
+    np.add.at(depth, late + WINDOW, -1)
+    return np.split(np.cumsum(depth)[:-1] > 0, offset[1:-1])
 
 
 def _cleaned(n_shards: int):
@@ -301,8 +318,8 @@ def dedup_passages(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     3. Windows around recurring anchors are confirmed in the same way: shards get
        each block's distinct 128-bit keys and answer with one bit for each, whether an
        earlier block has it.  A passage in every document is sent once per block.
-    4. Each block compiles its confirmed windows into automata of bounded size
-       and streams its documents through them to find every occurrence.
+    4. Each block compiles the passages that confirmed windows make up into automata
+       of bounded size and streams its documents through them to find every occurrence.
 
     A null text has no words.  A null ``doc_id`` counts as larger than any other,
     and all null ids as one document.  Of rows that repeat a ``doc_id``, windows at
@@ -310,7 +327,7 @@ def dedup_passages(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     No rows give no rows.  Columns other than ``doc_id`` and ``text`` are not read.
     """
     table, n_blocks = _blocks(docs, block_bytes)
-    n_shards = 1 << max(0, (n_blocks // 4).bit_length())
+    n_shards = 1 << max(5, n_blocks.bit_length())
     anchors = table.mapInArrow(_anchors(n_shards), ROUTED)
     path = new_path(docs.sparkSession, "repeated_anchors")
     anchors.groupBy("shard").applyInArrow(_repeated, "block int, packed binary").write.parquet(path)
