@@ -55,7 +55,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     ranged = ranged.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "place")
     first = ranged.groupBy("h1", "h2", "doc_id").agg(F.min("place").alias("place"))
     common = first.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_id"))
-    common = common.where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_id")
+    # Written, so that the join below shuffles both sides by itself and can split the rows of a hash that many documents hold.
+    common = staged(common.where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_id"), "common_lines")
     gone = hashed.join(common, ["h1", "h2"]).where(F.col("doc_id") < F.col("last_id"))
     places = gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("place")).alias("places"))
 
