@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewright.llm.text import payload
-from tomewright.sources.artifacts import new_path, staged
+from tomewright.sources.artifacts import delete_at_end, new_path, staged
 
 LOCAL_BYTES = 32 << 20
 ENTRY = "hash long, text binary, keep_id long, group_size long"
@@ -151,7 +151,8 @@ def build_index(
 
     The directory is grown from the bytes of distinct hashes per prefix, at most
     ``2 ** max_depth`` numbers however many documents there are.  ``directory``
-    and one folder per bucket are Parquet below the returned path.
+    and one folder per bucket are Parquet below the returned path, which is
+    deleted when the application ends.
     """
     spark = docs.sparkSession
     per_hash = keys.groupBy("hash").agg(F.max("n_bytes").alias("n"))
@@ -175,6 +176,7 @@ def build_index(
     )
     owned = placed.repartition("bucket").sortWithinPartitions("bucket", "hash")
     owned.mapInArrow(_chained, CHAINED).write.partitionBy("bucket").parquet(f"{path}/buckets")
+    delete_at_end(spark, path)
     return path, directory
 
 

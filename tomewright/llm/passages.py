@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewright.llm.text import IS_WHITE, chunks, gram_hashes, mixed, payload
-from tomewright.sources.artifacts import new_path
+from tomewright.sources.artifacts import delete_at_end, new_path, staged
 
 WINDOW = 20
 GRAM = 8
@@ -299,8 +299,13 @@ def _blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     ranged = rows.repartitionByRange(count, F.col("doc_id").isNull(), "doc_id")
     name = f"passage_blocks_{uuid.uuid4().hex}"
     placed = ranged.withColumn("block", F.spark_partition_id())
-    placed.write.option("path", new_path(spark, name)).bucketBy(count, "block").saveAsTable(name)
-    return spark.table(name), count
+    path = new_path(spark, name)
+    placed.write.option("path", path).bucketBy(count, "block").saveAsTable(name)
+    delete_at_end(spark, path)
+    table = spark.table(name)
+    # The catalog needs the name only to hand out the buckets; the files stay.
+    spark.sql(f"drop table {name}")
+    return table, count
 
 
 def dedup_passages(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -329,9 +334,7 @@ def dedup_passages(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     table, n_blocks = _blocks(docs, block_bytes)
     n_shards = 1 << max(5, n_blocks.bit_length())
     anchors = table.mapInArrow(_anchors(n_shards), ROUTED)
-    path = new_path(docs.sparkSession, "repeated_anchors")
-    anchors.groupBy("shard").applyInArrow(_repeated, "block int, packed binary").write.parquet(path)
-    repeated = docs.sparkSession.read.schema("block int, packed binary").parquet(path)
+    repeated = staged(anchors.groupBy("shard").applyInArrow(_repeated, "block int, packed binary"), "repeated_anchors")
     blocks = table.groupBy("block")
     keys = blocks.cogroup(repeated.groupBy("block")).applyInArrow(_candidate_keys(n_shards), ROUTED)
     bits = keys.groupBy("shard").applyInArrow(_earlier, "block int, shard int, earlier binary")
