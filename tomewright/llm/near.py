@@ -137,22 +137,32 @@ def _banded(idf, rows: int, bands: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for the nodes of edges ``a, b``; a root is the least node of its component.
+    """``node, root`` for the nodes that edges ``a, b`` link to another; a root is the least node of its component.
 
-    Labels spread to neighbours and then jump to their label's label, so rounds
-    grow with the logarithm of a path's length; each round is a written table.
+    In a round each node points to its least neighbour or itself; pointers jump
+    until they reach a root, and edges are drawn between roots.  Each round at
+    least halves the nodes that still have edges; each step is a written table.
     """
-    both = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = staged(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("root")).select(F.col("a").alias("node"), "root"), "labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "root")
-        spread = near.union(labels.select("node", "root")).groupBy("node").agg(F.min("root").alias("root"))
-        spread = staged(spread, "labels")
-        jump = spread.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        after = staged(spread.join(jump, "root").select("node", F.col("further").alias("root")), "labels")
-        if labels.join(after, ["node", "root"], "left_anti").isEmpty():
-            return after
-        labels = after
+    ordered = edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links, labels = staged(ordered.distinct(), "edges"), None
+    while labels is None or not links.isEmpty():
+        both = links.select(F.col("a").alias("node"), "b").union(links.select(F.col("b").alias("node"), F.col("a").alias("b")))
+        up = staged(both.groupBy("node").agg(F.min("b").alias("up")).select("node", F.least("node", "up").alias("up")), "pointers")
+        moved = True
+        while moved:
+            further = up.select(F.col("node").alias("up"), F.col("up").alias("further"))
+            jumped = up.join(further, "up").select("node", F.col("further").alias("up"), (F.col("further") != F.col("up")).alias("moved"))
+            jumped = staged(jumped, "pointers")
+            up, moved = jumped.drop("moved"), not jumped.where("moved").isEmpty()
+        if labels is None:
+            labels = up.select("node", F.col("up").alias("root"))
+        else:
+            later = up.select(F.col("node").alias("root"), "up")
+            labels = staged(labels.join(later, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "labels")
+        one = links.join(up.select(F.col("node").alias("a"), F.col("up").alias("a_root")), "a").select("a_root", "b")
+        two = one.join(up.select(F.col("node").alias("b"), F.col("up").alias("b_root")), "b").where("a_root != b_root")
+        links = staged(two.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "edges")
+    return labels
 
 
 class _Sets:
@@ -251,7 +261,9 @@ def near_duplicates(
     keyed = staged(banded.dropDuplicates(["node"]), "bands")
 
     each = keyed.select("node", F.posexplode("keys").alias("band", "key"))
+    # Tables written before a join are shuffled by it alone, so that it can split the rows of a hot key.
     shared = each.groupBy("band", "key").agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center < other")
+    shared = staged(shared.select("band", "key", "center"), "shared_keys")
     stars = each.join(shared, ["band", "key"]).select(F.col("node").alias("a"), F.col("center").alias("b")).where("a != b").distinct()
     roots = components(stars)
 
@@ -260,7 +272,7 @@ def near_duplicates(
     per_root = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("n_bytes"))
     n_chunks = F.ceil(F.greatest(F.col("n") / chunk_texts, F.col("n_bytes") / CHUNK_TEXT_BYTES)).cast("int")
     # Components that are larger than a chunk are few; the others need no lookup.
-    large = per_root.select("root", n_chunks.alias("n_chunks")).where("n_chunks > 1")
+    large = staged(per_root.select("root", n_chunks.alias("n_chunks")).where("n_chunks > 1"), "large_components")
     chunked = members.join(large, "root", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(1)))
     chunk = F.pmod(F.xxhash64("node"), F.col("n_chunks")).cast("int")
     sent = chunked.withColumn("side", chunk).join(keyed, "node")
@@ -273,6 +285,7 @@ def near_duplicates(
     placed = owned.join(classes, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     linked = links.join(classes, links["a"] == classes["node"]).groupBy("root").agg(F.count("*").alias("n_links"))
     summary = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).join(linked, "root", "left")
+    summary = staged(summary, "classes")
     return placed.join(summary, "root").select(
         "doc_id", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"),
