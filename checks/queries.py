@@ -625,13 +625,13 @@ def cross_validated_errors(spark, sf):
 @query
 def vector_size_errors(spark, sf):
     sizes = {f"size {size}": _vectors(spark, sf, size) for size in SIZES}
-    return learn.compare_features(sizes, _stored_metadata(spark, sf), [learn.naive_bayes()])
+    return learn.compare_features(sizes, _stored_metadata(spark, sf))
 
 
 @query
 def double_hash_errors(spark, sf):
     pair = {"single": _vectors(spark, sf, fv.VECTOR_SIZE), "double": _vectors(spark, sf, *vec.double_hash_sizes())}
-    return learn.compare_features(pair, _stored_metadata(spark, sf), [learn.naive_bayes()])
+    return learn.compare_features(pair, _stored_metadata(spark, sf))
 
 
 @query

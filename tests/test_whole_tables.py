@@ -1,5 +1,7 @@
 """Queries that once did less than the whole job."""
 
+import pytest
+
 from checks import compare, inputs, queries
 from tomewright.operators import learn
 
@@ -14,3 +16,16 @@ def test_stored_books_has_every_book(spark):
     ).fetchall()
     found = queries.stored_books(spark, SF).select("doc_id", "file_size", "content_md5").collect()
     assert sorted(map(tuple, found)) == sorted(wanted)
+
+
+@pytest.mark.parametrize("name, sets", [("vector_size_errors", 3), ("double_hash_errors", 2)])
+def test_vectors_are_compared_by_every_method(spark, monkeypatch, name, sets):
+    tried = []
+
+    def recorded(rows, names, methods, folds):
+        tried.append([(m.name, m.setting, tuple(m.values)) for m in methods])
+        return spark.createDataFrame([], learn.ERRORS)
+
+    monkeypatch.setattr(learn, "subject_errors", recorded)
+    queries.QUERIES[name](spark, SF)
+    assert tried == [[(m.name, m.setting, tuple(m.values)) for m in learn.default_methods()]] * sets
