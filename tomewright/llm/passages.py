@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -154,6 +155,7 @@ class Candidates:
         self.keys = keys[new]
         self.number = np.cumsum(new) - 1
         self.count = np.bincount(self.number, minlength=len(self.keys))
+        self.least = np.minimum.reduceat(self.start, np.flatnonzero(new)) if len(keys) else self.start
 
 
 def _block_rows(docs: pa.Table) -> tuple[list[int | None], list[bytes]]:
@@ -164,34 +166,52 @@ def _hashes_in(table: pa.Table) -> np.ndarray:
     return np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(p, np.uint64) for p in table.column("packed").to_pylist()]])
 
 
-def _candidate_keys(n_shards: int):
+def _candidate_keys(n_shards: int, shared: np.ndarray):
     def candidate_keys(docs: pa.Table, repeated: pa.Table) -> pa.Table:
         if not docs.num_rows or not repeated.num_rows:
             return pa.table({"shard": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "packed": pa.array([], pa.binary())})
         found = Candidates(_block_rows(docs)[1], _hashes_in(repeated))
         block = docs.column("block")[0].as_py()
-        return pa.Table.from_batches([_by_shard(block, found.keys[:, 0], found.keys, n_shards)])
+        packed = np.column_stack([found.keys, found.least.astype(np.uint64)]) if shared[block] else found.keys
+        return pa.Table.from_batches([_by_shard(block, found.keys[:, 0], packed, n_shards)])
 
     return candidate_keys
 
 
-def _earlier(table: pa.Table) -> pa.Table:
-    """For each block a bit per key, set if an earlier block has the key."""
-    order = np.argsort(table.column("block").to_numpy(), kind="stable")
-    blocks = table.column("block").to_numpy()[order]
-    texts = table.column("packed").to_pylist()
-    parts = [np.frombuffer(texts[i], np.uint64).reshape(-1, 2) for i in order]
-    keys = np.concatenate(parts)
-    sort = np.lexsort((keys[:, 1], keys[:, 0]))  # stable: of equal keys that of the first block comes first
-    later = np.zeros(len(keys), bool)
-    later[sort[1:]] = (keys[sort[1:]] == keys[sort[:-1]]).all(axis=1)
-    bits = [np.packbits(p).tobytes() for p in np.split(later, np.cumsum([len(p) for p in parts])[:-1])]
-    return pa.table(
-        {
-            "block": pa.array(blocks, pa.int32()), "shard": pa.array([table.column("shard")[0].as_py()] * len(blocks), pa.int32()),
-            "earlier": pa.array(bits, pa.binary()),
-        }
-    )
+def _earlier(first: np.ndarray, shared: np.ndarray):
+    def earlier(table: pa.Table) -> pa.Table:
+        """For each block a bit per key, set if an earlier id's block has the key.
+
+        Blocks that share one id are none earlier than the other; after its bits each gets the
+        least start of every key in them.
+        """
+        order = np.argsort(table.column("block").to_numpy(), kind="stable")
+        blocks = table.column("block").to_numpy()[order]
+        texts = table.column("packed").to_pylist()
+        parts = [np.frombuffer(texts[i], np.uint64).reshape(-1, 3 if shared[b] else 2) for i, b in zip(order, blocks, strict=True)]
+        sizes = [len(p) for p in parts]
+        keys, home = np.concatenate([p[:, :2] for p in parts]), np.repeat(first[blocks], sizes)
+        start = np.concatenate([p[:, 2] if p.shape[1] == 3 else np.zeros(len(p), np.uint64) for p in parts])
+        sort = np.lexsort((keys[:, 1], keys[:, 0]))  # stable: of equal keys that of the first block comes first
+        keys, home = keys[sort], home[sort]
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])
+        later, least = np.zeros(len(keys), bool), np.zeros(len(keys), np.uint64)
+        later[sort] = home != home[np.flatnonzero(new)][np.cumsum(new) - 1]
+        new[1:] |= home[1:] != home[:-1]
+        least[sort] = np.minimum.reduceat(start[sort], np.flatnonzero(new))[np.cumsum(new) - 1]
+        ends = np.cumsum(sizes)[:-1]
+        bits = [
+            np.packbits(p).tobytes() + (q.tobytes() if shared[b] else b"")
+            for p, q, b in zip(np.split(later, ends), np.split(least, ends), blocks, strict=True)
+        ]
+        return pa.table(
+            {
+                "block": pa.array(blocks, pa.int32()), "shard": pa.array([table.column("shard")[0].as_py()] * len(blocks), pa.int32()),
+                "earlier": pa.array(bits, pa.binary()),
+            }
+        )
+
+    return earlier
 
 
 def _letters(numbers: np.ndarray) -> str:
@@ -210,37 +230,50 @@ def _passages(found: Candidates, recurring: np.ndarray) -> tuple[np.ndarray, np.
     return at, np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(start, prepend=-2) != 1))
 
 
-def removed_words(words: list[list[bytes]], ids: list[int | None], found: Candidates, earlier: np.ndarray) -> list[np.ndarray]:
+def removed_words(
+    words: list[list[bytes]], ids: list[int | None], found: Candidates, earlier: np.ndarray, least: np.ndarray | None = None
+) -> list[np.ndarray]:
     """For each text of a block, which words go.
 
     The maximal recurring passages of all texts, each distinct one once, are
     compiled into automata over word numbers, some ``AUTOMATON_WORDS`` words at a
-    time.  Every automaton streams all texts and reports each occurrence of its
-    passages, and so of all their windows.  An occurrence of a window goes if an
-    earlier block has it, or an earlier document or place in this block.
+    time; a longer passage is given in pieces that share all but one word of a window,
+    so that none of its windows is cut.  Each automaton numbers the words of its own
+    passages, so its alphabet is bounded however many words a block has; any other
+    word is letter 0.  Every automaton streams all texts and reports each occurrence
+    of its passages, and so of all their windows.  An occurrence of a window goes if an
+    earlier block has it, or an earlier document or place in this block.  Where blocks
+    share one id, ``least`` is the first start of each window in all of them.
     """
     gone = [np.zeros(len(w), bool) for w in words]
-    at, begins = _passages(found, earlier | (found.count > 1))
+    again = earlier | (found.count > 1)
+    at, begins = _passages(found, again if least is None else again | (found.least > least))
     if not len(at):
         return gone
     numbers: dict[bytes, int] = {}
-    coded = [_letters(np.array([numbers.setdefault(w, len(numbers)) for w in t], np.int64)) for t in words]
-    distinct: dict[str, np.ndarray] = {}
-    for run in np.split(at, begins[1:]):
-        doc, start = int(found.doc[run[0]]), int(found.start[run[0]])
-        distinct.setdefault(coded[doc][start : start + len(run) + WINDOW - 1], found.number[run])
+    coded = [np.array([numbers.setdefault(w, len(numbers)) for w in t], np.int32) for t in words]
+    most = max(1, AUTOMATON_WORDS - WINDOW + 1)
+    distinct: dict[bytes, np.ndarray] = {}
+    for whole in np.split(at, begins[1:]):
+        for run in np.split(whole, range(most, len(whole), most)):
+            doc, start = int(found.doc[run[0]]), int(found.start[run[0]])
+            distinct.setdefault(coded[doc][start : start + len(run) + WINDOW - 1].tobytes(), found.number[run])
     offset = np.concatenate([[0], np.cumsum([len(w) for w in words])])
     located = np.full(int(offset[-1]), -1, np.int64)  # the window that starts at each word, if it was found
-    passages = list(distinct)
+    passages = [np.frombuffer(p, np.int32) for p in distinct]
+    windows_of = list(distinct.values())
     for a, b in chunks(map(len, passages), AUTOMATON_WORDS):
+        own = np.unique(np.concatenate(passages[a:b]))
+        letter = np.zeros(len(numbers), np.int64)
+        letter[own] = np.arange(1, len(own) + 1)
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for k in range(a, b):
-            automaton.add_word(passages[k], k)
+            automaton.add_word(_letters(letter[passages[k]]), k)
         automaton.make_automaton()
         for first, text in zip(offset.tolist(), coded, strict=False):
-            for end, k in automaton.iter(text):
+            for end, k in automaton.iter(_letters(letter[text])):
                 place = first + end + 1 - len(passages[k])
-                located[place : place + len(passages[k]) - WINDOW + 1] = distinct[passages[k]]
+                located[place : place + len(windows_of[k])] = windows_of[k]
     place = np.flatnonzero(located >= 0)
     which, doc = located[place], np.searchsorted(offset, place, side="right") - 1
     rank = np.unique([(i is None, i or 0) for i in ids], axis=0, return_inverse=True)[1].ravel()[doc]
@@ -249,14 +282,15 @@ def removed_words(words: list[list[bytes]], ids: list[int | None], found: Candid
     place, which, rank, start = place[order], which[order], rank[order], start[order]
     group = np.cumsum(np.diff(which, prepend=-1) != 0) - 1
     head = np.flatnonzero(np.diff(which, prepend=-1))[group]
-    late = place[(rank != rank[head]) | (start != start[head]) | earlier[which]]
+    start_of = start[head] if least is None else least[which]
+    late = place[(rank != rank[head]) | (start != start_of) | earlier[which]]
     depth = np.zeros(int(offset[-1]) + 1, np.int32)
     np.add.at(depth, late, 1)
     np.add.at(depth, late + WINDOW, -1)
     return np.split(np.cumsum(depth)[:-1] > 0, offset[1:-1])
 
 
-def _cleaned(n_shards: int):
+def _cleaned(n_shards: int, shared: np.ndarray):
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def cleaned(docs: pa.Table, marks: pa.Table) -> pa.Table:
@@ -268,9 +302,13 @@ def _cleaned(n_shards: int):
             found = Candidates(data, _hashes_in(repeated))
             bits = {s: e for s, e in zip(marks.column("shard").to_pylist(), marks.column("earlier").to_pylist(), strict=True) if e}
             shards, sizes = np.unique(_shard_of(found.keys[:, 0], n_shards), return_counts=True)
-            parts = [np.unpackbits(np.frombuffer(bits[s], np.uint8), count=n) for s, n in zip(shards.tolist(), sizes.tolist(), strict=True)]
+            parts = [np.unpackbits(np.frombuffer(bits[s], np.uint8, -(-n // 8)), count=n) for s, n in zip(shards.tolist(), sizes.tolist(), strict=True)]
             earlier = np.concatenate([np.empty(0, bool), *parts]).astype(bool)
-            gone = removed_words(words, ids, found, earlier)
+            least = None
+            if shared[docs.column("block")[0].as_py()]:
+                starts = [np.frombuffer(bits[s], np.int64, n, -(-n // 8)) for s, n in zip(shards.tolist(), sizes.tolist(), strict=True)]
+                least = np.concatenate([np.empty(0, np.int64), *starts])
+            gone = removed_words(words, ids, found, earlier, least)
         spans, kept = [], []
         for w, g in zip(words, gone, strict=True):
             edge = np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]])))
@@ -290,22 +328,71 @@ def _cleaned(n_shards: int):
 CLEANED = "doc_id long, n_words long, n_removed long, removed array<struct<start: int, end: int>>, kept_text string"
 
 
-def _blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
-    """Documents in ranges of ``doc_id`` of about ``block_bytes`` of text, stored in buckets by block."""
+def _cuts(block_bytes: int):
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """First id of each block of a stretch of ids in order, and over how many blocks its rows are spread.
+
+        It is more than one only for an id whose rows together exceed a block.
+        """
+        total, closed = 0, True
+        for batch in batches:
+            firsts, spread = [], []
+            for doc, size, n in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "bytes", "n")), strict=True):
+                parts = _spread(size, n, block_bytes)
+                if closed or parts > 1 or total + size > block_bytes:
+                    firsts.append(doc)
+                    spread.append(parts)
+                    total = 0
+                total, closed = total + size, parts > 1
+            yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), pa.array(spread, pa.int64())], ["doc_id", "parts"])
+
+    return cuts
+
+
+def _spread(size: int, n_rows: int, block_bytes: int) -> int:
+    return min(n_rows, -(-size // block_bytes))
+
+
+def _blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Documents in ranges of ``doc_id`` of at most ``block_bytes`` of text or one document, stored in buckets by block.
+
+    Rows of one id that exceed a block, those without id among them, are spread over
+    several.  Also returns for each block the first one that has its ids, and whether
+    others have its id too.  Only two numbers a block reach the driver.
+    """
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
-    count = max(1, -(-total // block_bytes))
-    ranged = rows.repartitionByRange(count, F.col("doc_id").isNull(), "doc_id")
+    sized = rows.groupBy("doc_id").agg(F.sum(F.octet_length("text") + F.lit(32).cast("long")).alias("bytes"), F.count("*").alias("n"))
+    sizes = staged(sized, "passage_bytes")
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    # Each stretch holds some blocks, so that their ends, which may leave a block part filled, are few.
+    stretches = max(1, -(-total // (8 * block_bytes)))
+    ids = sizes.where("doc_id is not null").repartitionByRange(stretches, "doc_id").sortWithinPartitions("doc_id")
+    cuts = sorted(tuple(r) for r in ids.mapInArrow(_cuts(block_bytes), "doc_id long, parts long").collect())
+    without = sizes.where("doc_id is null").first()
+    firsts = np.array([first for first, _ in cuts], np.int64)
+    parts = np.array([n for _, n in cuts] + [_spread(without.bytes, without.n, block_bytes) if without else 1], np.int64)
+    begin = np.cumsum(parts) - parts
+    count = int(parts.sum())
+
+    @F.pandas_udf("int")
+    def block_of(doc: pd.Series, null: pd.Series, row: pd.Series) -> pd.Series:
+        at = np.maximum(np.searchsorted(firsts, doc.to_numpy(), side="right") - 1, 0)
+        at[null.to_numpy()] = len(firsts)
+        turn = mixed(row.to_numpy().astype(np.uint64)) % parts[at].astype(np.uint64)
+        return pd.Series((begin[at] + turn.astype(np.int64)).astype(np.int32))
+
     name = f"passage_blocks_{uuid.uuid4().hex}"
-    placed = ranged.withColumn("block", F.spark_partition_id())
+    known = F.coalesce("doc_id", F.lit(0).cast("long"))
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    placed = numbered.withColumn("block", block_of(known, F.col("doc_id").isNull(), "row")).drop("row")
     path = new_path(spark, name)
-    placed.write.option("path", path).bucketBy(count, "block").saveAsTable(name)
+    placed.repartition(count, "block").write.option("path", path).bucketBy(count, "block").sortBy("block").saveAsTable(name)
     delete_at_end(spark, path)
     table = spark.table(name)
     # The catalog needs the name only to hand out the buckets; the files stay.
     spark.sql(f"drop table {name}")
-    return table, count
+    return table, np.repeat(begin, parts), np.repeat(parts > 1, parts)
 
 
 def dedup_passages(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -316,8 +403,8 @@ def dedup_passages(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     words also start earlier: in a document of smaller id, or before in the same
     one.  ``removed`` are the runs of words that go; the others are joined by a space.
 
-    1. Documents are stored in blocks, ranges of ids, bucketed so that the later
-       steps meet each block without moving its text again.
+    1. Documents are stored in blocks, ranges of ids cut by summed bytes, bucketed so
+       that the later steps meet each block without moving its text again.
     2. A window's anchor is its least ``GRAM``-word hash.  Shards of the hash space
        get each block's distinct anchors and tell the block which recur.
     3. Windows around recurring anchors are confirmed in the same way: shards get
@@ -331,17 +418,17 @@ def dedup_passages(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     the same place are neither earlier than the other; else the smaller start is.
     No rows give no rows.  Columns other than ``doc_id`` and ``text`` are not read.
     """
-    table, n_blocks = _blocks(docs, block_bytes)
-    n_shards = 1 << max(5, n_blocks.bit_length())
+    table, first, shared = _blocks(docs, block_bytes)
+    n_shards = 1 << max(5, len(first).bit_length())
     anchors = table.mapInArrow(_anchors(n_shards), ROUTED)
     repeated = staged(anchors.groupBy("shard").applyInArrow(_repeated, "block int, packed binary"), "repeated_anchors")
     blocks = table.groupBy("block")
-    keys = blocks.cogroup(repeated.groupBy("block")).applyInArrow(_candidate_keys(n_shards), ROUTED)
-    bits = keys.groupBy("shard").applyInArrow(_earlier, "block int, shard int, earlier binary")
+    keys = blocks.cogroup(repeated.groupBy("block")).applyInArrow(_candidate_keys(n_shards, shared), ROUTED)
+    bits = keys.groupBy("shard").applyInArrow(_earlier(first, shared), "block int, shard int, earlier binary")
     marks = bits.select("block", "shard", "earlier", F.lit(None).cast("binary").alias("packed")).unionByName(
         repeated.select("block", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("earlier"), "packed")
     )
-    return blocks.cogroup(marks.groupBy("block")).applyInArrow(_cleaned(n_shards), CLEANED)
+    return blocks.cogroup(marks.groupBy("block")).applyInArrow(_cleaned(n_shards, shared), CLEANED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
