@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomewright.llm import decontaminate, exact, language, lines, mixing, near, passages, secrets, spelling, tokens, urls, whitening
+from tomewright.llm import decontaminate, exact, language, lines, mixing, near, passages, secrets, spelling, tokens, toxicity, urls, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": lines.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": exact.query,
     "op11_spelling_variants": spelling.query,
     "op12_embedding_whitening": whitening.query,
+    "op13_toxicity": toxicity.query,
 }
 SQL: dict[str, str] = {
     "op1_line_dedup": lines.SQL,
