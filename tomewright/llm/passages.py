@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import ahocorasick
 import numpy as np
@@ -22,29 +23,55 @@ BLOCK_BYTES = 4 << 20
 CHUNK_BYTES = 1 << 20
 #: Words of all passages in one automaton; a block with more compiles one after the other.
 AUTOMATON_WORDS = 200_000
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
+_BASE = 0x9E3779B97F4A7C15
+#: A word is hashed in blocks of eight bytes; one of more than so many bytes, as a whole.
+_LONG = 1 << 12
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, and the text each is from.
-
-    A word is a run of anything but ASCII white space; its hash is a polynomial
-    in its bytes, taken from prefix sums over all bytes at once.
-    """
-    data = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts one after the other, start and end of each word in them, and the text that each word is from."""
+    data = np.frombuffer(b" ".join([b"", *texts, b" " * 8]), np.uint8)
     edge = np.diff(IS_WHITE[data].view(np.int8))
     starts, ends = np.flatnonzero(edge == -1) + 1, np.flatnonzero(edge == 1) + 1
-    with np.errstate(over="ignore"):
-        power = np.full(len(data), _BASE, np.uint64)
-        back = np.full(len(data), _INVERSE, np.uint64)
-        power[:1] = back[:1] = 1
-        power, back = np.multiply.accumulate(power), np.multiply.accumulate(back)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power)])
-        hashes = mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
     firsts = np.cumsum([1, *[len(t) + 1 for t in texts[:-1]]]) if texts else np.empty(0, np.int64)
-    return hashes, np.searchsorted(firsts, starts, side="right") - 1
+    return data, starts, ends, np.searchsorted(firsts, starts, side="right") - 1
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A scramble of each word's length and blocks of eight bytes, one after the other.
+
+    Every block is mixed by a bijection before the next one enters, so words of up
+    to eight bytes and one length never share a hash, and no pattern of bytes cancels out.
+    """
+    size = ends - starts
+    out = mixed(size.astype(np.uint64) + np.uint64(seed))
+    left = np.flatnonzero(size <= _LONG)
+    at = 0
+    while len(left):
+        begin, rest = starts[left] + at, np.minimum(size[left] - at, 8)
+        block = np.zeros(len(left), np.uint64)
+        for k in range(8):
+            byte = data[begin + k].astype(np.uint64)
+            block |= np.where(rest > k, byte, np.uint64(0)) << np.uint64(8 * k)
+        out[left] = mixed(out[left] ^ block)
+        at += 8
+        left = left[size[left] > at]
+    for k in np.flatnonzero(size > _LONG):
+        whole = blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, salt=seed.to_bytes(16, "little"))
+        out[k] = int.from_bytes(whole.digest(), "little")
+    return out
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and the text each is from; a word is a run of anything but ASCII white space."""
+    data, starts, ends, owner = word_spans(texts)
+    return _hashed(data, starts, ends, 1), owner
+
+
+def word_hash_pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``word_hashes`` with a second hash of each word that shares nothing with the first."""
+    data, starts, ends, owner = word_spans(texts)
+    return _hashed(data, starts, ends, 1), _hashed(data, starts, ends, 2), owner
 
 
 def windows(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,15 +92,13 @@ def windows(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, least[starts], place[starts]
 
 
-def _keys(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """128-bit keys of the windows at ``starts``, as rows of two numbers."""
+def _keys(words: np.ndarray, others: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """128-bit keys of the windows at ``starts``, as rows of two numbers, each from a hash of words of its own."""
     out = np.zeros((len(starts), 2), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(WINDOW):
-            at = words[starts + j]
-            out[:, 0] = out[:, 0] * np.uint64(_BASE) + at
-            out[:, 1] = (out[:, 1] ^ (out[:, 1] >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) + at
-    out[:, 0] = mixed(out[:, 0])
+            out[:, 0] = mixed(out[:, 0] * np.uint64(_BASE) + words[starts + j])
+            out[:, 1] = mixed((out[:, 1] ^ others[starts + j]) + np.uint64(_BASE))
     return out
 
 
@@ -141,10 +166,10 @@ class Candidates:
     def __init__(self, texts: list[bytes], repeated: np.ndarray):
         keys, doc, start = [np.empty((0, 2), np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for a, b in chunks(map(len, texts), CHUNK_BYTES):
-            words, owner = word_hashes(texts[a:b])
+            words, others, owner = word_hash_pairs(texts[a:b])
             at, least, _ = windows(words, owner)
             at = at[np.isin(least, repeated)]
-            keys.append(_keys(words, at))
+            keys.append(_keys(words, others, at))
             doc.append(owner[at] + a)
             first_word = np.searchsorted(owner, np.arange(b - a))
             start.append(at - first_word[owner[at]])
@@ -387,7 +412,9 @@ def _blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, np.ndarray, n
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     placed = numbered.withColumn("block", block_of(known, F.col("doc_id").isNull(), "row")).drop("row")
     path = new_path(spark, name)
-    placed.repartition(count, "block").write.option("path", path).bucketBy(count, "block").sortBy("block").saveAsTable(name)
+    # A bucket holds several blocks where there are more of them than Spark allows buckets.
+    buckets = min(count, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")) // 2)
+    placed.repartition(buckets, "block").write.option("path", path).bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
     delete_at_end(spark, path)
     table = spark.table(name)
     # The catalog needs the name only to hand out the buckets; the files stay.
