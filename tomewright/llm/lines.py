@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomewright.functions.binding import bound
+from tomewright.llm.text import whole_rows
 from tomewright.sources.artifacts import staged
 
 MIN_CHARS = 20
@@ -31,6 +32,18 @@ def text_key(docs: DataFrame) -> Column:
     return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
 
 
+def first_occurrences(hashed: DataFrame) -> DataFrame:
+    """``h1, h2, doc_id, place`` of the first line with a hash in each document.
+
+    Rows are dealt by ranges of hash and document and sorted by hash, document and
+    position; the first of each run of rows is passed on as they stream by.  The ranges
+    already hold a document's lines of one hash together, so nothing is shuffled again.
+    """
+    ranged = hashed.where(F.col("doc_id").isNotNull()).select("h1", "h2", "doc_id", "place").repartitionByRange("h1", "h2", "doc_id")
+    in_order = Window.partitionBy("h1", "h2", "doc_id").orderBy("place")
+    return ranged.withColumn("turn", F.row_number().over(in_order)).where("turn = 1").drop("turn")
+
+
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Bitmaps of the lines that stay, for documents that lose any: ``doc_id, text_key, drop_first, drop_last``.
 
@@ -51,10 +64,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
         keyed.select("doc_id", "text_key", "place", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")),
         "line_hashes",
     )
-    ranged = hashed.where(F.col("doc_id").isNotNull()).select("h1", "h2", "doc_id", "place")
-    ranged = ranged.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "place")
-    first = ranged.groupBy("h1", "h2", "doc_id").agg(F.min("place").alias("place"))
-    common = first.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_id"))
+    common = first_occurrences(hashed).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_id"))
     # Written, so that the join below shuffles both sides by itself and can split the rows of a hash that many documents hold.
     common = staged(common.where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_id"), "common_lines")
     gone = hashed.join(common, ["h1", "h2"]).where(F.col("doc_id") < F.col("last_id"))
@@ -70,11 +80,11 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 def kept_lines(docs: DataFrame, bitmaps: DataFrame, text: str = "kept_text") -> DataFrame:
     """``docs`` with ``text`` (kept lines joined by a line feed), ``n_lines`` and ``n_dropped`` added."""
-    keyed = docs.withColumn("_text_key", text_key(docs))
+    rows = whole_rows(docs, own_key=text_key(docs))
     marks = bitmaps.select(
-        F.col("doc_id").alias("_marked_id"), F.col("text_key").alias("_marked_key"), F.col("drop_first").alias("_first"), F.col("drop_last").alias("_last")
+        F.col("doc_id").alias("marked_id"), F.col("text_key").alias("marked_key"), F.col("drop_first").alias("_first"), F.col("drop_last").alias("_last")
     )
-    found = keyed.join(marks, (keyed["doc_id"] == F.col("_marked_id")) & (F.col("_text_key") == F.col("_marked_key")), "left")
+    found = rows.join(marks, (F.col("doc.doc_id") == F.col("marked_id")) & (F.col("own_key") == F.col("marked_key")), "left")
 
     def part(lines: Column) -> Column:
         def stretch(j: Column) -> Column:
@@ -82,7 +92,7 @@ def kept_lines(docs: DataFrame, bitmaps: DataFrame, text: str = "kept_text") ->
             return F.slice(lines, after + 2, F.coalesce(F.get("_first", j), F.size(lines)) - after - 1)
 
         kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_first")), stretch))
-        whole = F.coalesce(docs["text"], F.lit(""))
+        whole = F.coalesce(F.col("doc.text"), F.lit(""))
         return F.struct(
             F.size(lines).cast("long").alias("n_lines"),
             F.when(F.col("_first").isNull(), whole).otherwise(F.array_join(kept, "\n")).alias("text"),
@@ -90,10 +100,8 @@ def kept_lines(docs: DataFrame, bitmaps: DataFrame, text: str = "kept_text") ->
 
     runs = F.zip_with(F.col("_first"), F.col("_last"), lambda a, b: (b - a + 1).cast("long"))
     dropped = F.coalesce(F.aggregate(runs, F.lit(0).cast("long"), lambda n, x: n + x), F.lit(0).cast("long"))
-    rows = found.select(*[docs[f"`{c}`"] for c in docs.columns], bound(lines_of(docs["text"]), part).alias("_part"), dropped.alias("n_dropped"))
-    return rows.select(
-        *[rows[f"`{c}`"] for c in docs.columns], F.col("_part.text").alias(text), F.col("_part.n_lines").alias("n_lines"), "n_dropped"
-    )
+    kept = found.select("doc", bound(lines_of(F.col("doc.text")), part).alias("part"), dropped.alias("n_dropped"))
+    return kept.select("doc.*", F.col("part.text").alias(text), F.col("part.n_lines").alias("n_lines"), "n_dropped")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
