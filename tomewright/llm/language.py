@@ -17,6 +17,8 @@ BITS = 16
 BUCKETS = 1 << BITS
 SIZES = (1, 2, 3)
 ROWS_PER_LANGUAGE = 400
+#: Languages that are learned, the most frequent ones; each takes a row of weights.
+MOST_LANGUAGES = 200
 CHUNK_CHARS = 500_000
 SCALE = 20.0
 UNDETERMINED = "und"
@@ -87,24 +89,28 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def sampled(rows: DataFrame, per_language: int, seed: int) -> DataFrame:
-    """About ``per_language`` rows of each language, by hashes of id and text."""
+def sampled(rows: DataFrame, per_language: int, seed: int, most_languages: int = MOST_LANGUAGES) -> DataFrame:
+    """About ``per_language`` rows of each of the ``most_languages`` most frequent languages, by hashes of id and text."""
     ticket = F.xxhash64(F.lit(seed), "doc_id", "text")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    share = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(share)
+    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    if not counted:
+        return rows.withColumn("ticket", ticket).limit(0)
+    shares = F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], min(1.0, per_language / r["count"]))])
     even = F.shiftrightunsigned("ticket", 11) / float(1 << 53)
-    return rows.withColumn("ticket", ticket).where(even < share)
+    return rows.withColumn("ticket", ticket).where(even < F.coalesce(F.element_at(shares, F.col("lang")), F.lit(0.0)))
 
 
 @dataclass
 class LanguageModel:
-    """``tables[k]`` has a language's weight of each bucket, IDF included; scores are divided by ``temperature``."""
+    """``tables[k]`` has a language's weight of each bucket, IDF included; scores are divided by ``temperature``.
+
+    ``least_right`` is the least probability of a right prediction among the rows that set the temperature.
+    """
 
     languages: list[str]
     tables: np.ndarray
     temperature: float = 1.0
+    least_right: float = 0.0
 
     def scores(self, texts: list[str]) -> np.ndarray:
         out, total = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
@@ -172,16 +178,16 @@ def calibrated(scores: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def train(rows: DataFrame, per_language: int = ROWS_PER_LANGUAGE, seed: int = 5) -> LanguageModel:
+def train(rows: DataFrame, per_language: int = ROWS_PER_LANGUAGE, seed: int = 5, most_languages: int = MOST_LANGUAGES) -> LanguageModel:
     """Fit on ``doc_id, text, lang``; rows without text or language do not count.
 
     IDF is counted over all rows.  The classifier is fitted to about
-    ``per_language`` rows of each language, a fifth of them for the temperature;
-    this bound alone sets what comes to the driver.
+    ``per_language`` rows of each of the ``most_languages`` most frequent languages, a
+    fifth of them for the temperature; these bounds alone set what comes to the driver.
     """
     rows = rows.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sample = sampled(rows, per_language, seed).select("text", "lang", "ticket")
+    sample = sampled(rows, per_language, seed, most_languages).select("text", "lang", "ticket")
     found = sample.mapInArrow(_sparse, "lang string, ticket long, found array<int>, freq array<float>").collect()
     languages = sorted({r["lang"] for r in found})
     if not languages:
@@ -197,7 +203,11 @@ def train(rows: DataFrame, per_language: int = ROWS_PER_LANGUAGE, seed: int = 5)
     weights = ftrl(fitted, len(languages))
     scores = np.array([weights[:, index] @ value for index, value, _ in held]).reshape(-1, len(languages))
     temperature = calibrated(scores, np.array([label for _, _, label in held], np.int64))
-    return LanguageModel(languages, (SCALE * weights * idf).astype(np.float32), temperature)
+    labels = np.array([label for _, _, label in held], np.int64)
+    chance = softmax(scores / temperature) if len(held) else scores
+    right = chance[np.arange(len(held)), labels][chance.argmax(axis=1) == labels] if len(held) else chance[:, :0]
+    least = float(right.min()) if right.size else 0.0
+    return LanguageModel(languages, (SCALE * weights * idf).astype(np.float32), temperature, least)
 
 
 def learnable(docs: DataFrame) -> Column:
