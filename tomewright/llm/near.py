@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewright.llm.passages import word_hashes
-from tomewright.llm.text import PLAIN, SLICES, chunks, count_slices, gathered, gram_hashes, mixed, payload
+from tomewright.llm.text import PLAIN, SLICES, chunks, count_slices, gathered, gram_hashes, mixed, payload, unwrapped, whole_rows
 from tomewright.sources.artifacts import staged
 
 WORDS = 5
@@ -252,9 +252,46 @@ def near_duplicates(
     ``doc_id`` are returned one by one; no rows give no rows.  Columns other than
     ``doc_id`` and ``text`` are not read.
     """
+    placed, links, classes = _classes(docs, similarity, rows, bands, chunk_texts)
+    linked = links.join(classes, links["a"] == classes["node"]).groupBy("root").agg(F.count("*").alias("n_links"))
+    summary = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).join(linked, "root", "left")
+    summary = staged(summary, "classes")
+    return placed.join(summary, "root").select(
+        "doc_id", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"),
+    )
+
+
+def text_node(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
+    """The documents, one row of each class of near copies: the same rows as ``docs`` has, with all their columns.
+
+    It is the row of least ``doc_id``, null counting as larger than any other; of rows
+    that share an id, one with the least hash of the text, and of equal ones of these the
+    least row.  So copies go also where an id repeats or is missing.
+    """
+    placed, _, _ = _classes(docs, **options)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
+    chosen = placed.groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.node")
+    known = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")
+    chosen = staged(chosen.select("node", known, F.col("doc_id").isNull().alias("no_id")), "kept_rows")
+    own = whole_rows(
+        docs, node=text_node(docs["text"]), id=F.coalesce(docs["doc_id"].cast("string"), F.lit("")), no_id=docs["doc_id"].isNull()
+    )
+    kept = own.join(chosen, ["node", "id", "no_id"], "left_semi")
+    return unwrapped(kept.groupBy("node", "id", "no_id").agg(F.min("doc").alias("doc")))
+
+
+def _classes(
+    docs: DataFrame, similarity: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS, chunk_texts: int = CHUNK_TEXTS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``doc_id, node, root`` of each row, verified links, and the classes of the nodes that links join."""
     spark = docs.sparkSession
     text = F.coalesce(docs["text"], F.lit(""))
-    base = docs.select(docs["doc_id"].alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("node"), text.alias("text"))
+    base = docs.select(docs["doc_id"].alias("doc_id"), text_node(docs["text"]).alias("node"), text.alias("text"))
     owned = staged(base.select("doc_id", "node", F.octet_length("text").alias("n_bytes")), "nodes")
     idf = spark.sparkContext.broadcast(inverse_frequency(base))
     banded = base.select("node", "text").mapInArrow(_banded(idf, rows, bands), "node binary, keys array<long>")
@@ -282,14 +319,7 @@ def near_duplicates(
     links = staged(pairs.groupBy("root", "i", "j").applyInArrow(_verified(idf, similarity), EDGES), "links")
 
     classes = components(links)
-    placed = owned.join(classes, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    linked = links.join(classes, links["a"] == classes["node"]).groupBy("root").agg(F.count("*").alias("n_links"))
-    summary = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).join(linked, "root", "left")
-    summary = staged(summary, "classes")
-    return placed.join(summary, "root").select(
-        "doc_id", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"),
-    )
+    return owned.join(classes, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root")), links, classes
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
