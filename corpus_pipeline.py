@@ -14,15 +14,16 @@ from tomewright.llm import decontaminate, language, lines, mixing, near
 from tomewright.llm.text import unwrapped
 from tomewright.sources.artifacts import staged
 
-#: Documents whose most likely language is less likely than this are rejected.
-MIN_SCORE = 0.3
+#: Documents are rejected whose language is less likely than this part of the least likely right prediction in training.
+LEAST_PART = 0.5
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents without a letter or without a likely language; learn from those not held out."""
     model = language.train(docs.where(language.learnable(docs)))
     rows = language.identified(docs, model)
-    return unwrapped(rows.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_SCORE)))
+    likely = F.col("score") >= LEAST_PART * model.least_right
+    return unwrapped(rows.where((F.col("lang_pred") != language.UNDETERMINED) & likely))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +37,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id of each class of near copies."""
-    classes = near.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(classes, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    """Keep one row of each class of near copies, that of least id."""
+    return near.one_of_each_class(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
