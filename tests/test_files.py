@@ -127,7 +127,9 @@ def test_read_or_build_builds_once_and_again_after_an_interrupted_write(spark, t
     assert (foreign / "notes.txt").read_text() == "mine" and len(calls) == 2
     with pytest.raises(Exception):
         artifacts.store(spark.range(1), path)
-    assert artifacts.kept(spark.range(2)).count() == 2
+    with artifacts.kept(spark.range(2)) as cached:
+        assert cached.count() == 2 and cached.is_cached
+    assert not cached.is_cached
 
 
 def test_temporary_tables_are_deleted_after_use(spark, tmp_path):

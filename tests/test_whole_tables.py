@@ -1,14 +1,8 @@
 """Queries that once did less than the whole job."""
 
-import random
-
-import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from checks import compare, inputs, queries
-from tests.llm.test_sql_twins import brute_passages
-from tomewright.llm import passages
 from tomewright.operators import learn
 
 SF = "/root/testdata/sf0.001"
@@ -26,48 +20,12 @@ def test_stored_books_has_every_book(spark):
 
 @pytest.mark.parametrize("name, sets", [("vector_size_errors", 3), ("double_hash_errors", 2)])
 def test_vectors_are_compared_by_every_method(spark, monkeypatch, name, sets):
-    tried = []
+    tried, schema = [], "doc_id string, subject string, method string, setting string, value double, fold int, testing boolean, label double, prediction double"
 
-    def recorded(rows, names, methods, folds):
+    def recorded(rows, names, methods, folds, key):
         tried.append([(m.name, m.setting, tuple(m.values)) for m in methods])
-        return spark.createDataFrame([], learn.ERRORS)
+        return spark.createDataFrame([], schema)
 
-    monkeypatch.setattr(learn, "subject_errors", recorded)
+    monkeypatch.setattr(learn, "subject_predictions", recorded)
     queries.QUERIES[name](spark, SF)
     assert tried == [[(m.name, m.setting, tuple(m.values)) for m in learn.default_methods()]] * sets
-
-
-def crowded_documents():
-    """Long texts side by side in id, many rows without id, an id with many rows, and ids beyond 2^53."""
-    made = random.Random(5)
-    common = [" ".join(f"c{k}_{i}" for i in range(40)) for k in range(6)]
-
-    def text(n, k):
-        own = [f"w{made.randrange(10**6)}" for _ in range(n)]
-        return " ".join([*own[: made.randrange(n)], common[k % 6], *own])
-
-    ids = [*range(60), *[None] * 60, *[7] * 40, *range(1 << 60, (1 << 60) + 20)]
-    return [(i, text(900 if i is not None and 20 <= i < 30 else 30, k)) for k, i in enumerate(ids)]
-
-
-def test_passage_blocks_hold_bytes_not_rows(spark):
-    rows = crowded_documents()
-    docs, most = spark.createDataFrame(rows, "doc_id long, text string"), 9_000
-    table, first, shared = passages._blocks(docs, most)
-    sizes = table.groupBy("block").agg(F.sum(F.octet_length("text") + 32).alias("size"), F.count_distinct("doc_id").alias("ids")).collect()
-    longest = max(len(t) for _, t in rows) + 32
-    # Rows of one id are spread by a hash, so some of its blocks are somewhat larger.
-    assert all(r["size"] <= (2 * most if shared[r.block] else max(most, longest)) for r in sizes)
-    assert shared.sum() >= 4 and sum(r["size"] for r in sizes) == sum(len(t) + 32 for _, t in rows)
-    got = passages.dedup_passages(docs, most).collect()
-    want = [(i, *r) for (i, _), r in zip(rows, brute_passages(rows), strict=True)]
-    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_words, r.n_removed, r.kept_text)) for r in got)
-
-
-def test_passages_of_more_words_than_letters():
-    words = [b"%x" % i for i in range(1_150_000)]
-    data = [b" ".join(words), b" ".join([b"before", *words, b"after"])]
-    every = np.unique(passages.windows(*passages.word_hashes(data))[1])
-    found = passages.Candidates(data, every)
-    gone = passages.removed_words([d.split() for d in data], [1, 2], found, np.zeros(len(found.keys), bool))
-    assert not gone[0].any() and gone[1][1:-1].all() and not gone[1][0] and not gone[1][-1]

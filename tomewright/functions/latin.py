@@ -12,6 +12,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tomewright.functions.binding import bound
+
 # One character to one character.
 SYMBOLS = {
     "\u00a0": " ", "¡": "!", "¦": "|", "¨": '"', "ª": "a", "¬": "!", "¯": "-", "²": "2", "³": "3", "´": "'",
@@ -47,14 +49,23 @@ def _base_letters() -> dict[str, str]:
 LETTERS = {**_base_letters(), **SYMBOLS}
 
 
+_GONE = [char for char, replacement in EXPANSIONS.items() if not replacement] + [chr(c) for c in range(0x0300, 0x0370)]
+_LONGER = {char: replacement for char, replacement in EXPANSIONS.items() if replacement}
+
+
 def to_ascii(text: Column) -> Column:
     """Latin letters and common symbols as ASCII; other characters stay.
 
+    One pass maps and drops single characters by a table.  A text that has one which
+    becomes several is cut at those, each is looked up, and the pieces are joined.
     Pure ASCII text, the usual case, is recognised by one scan and passed on.
     """
-    changed = F.translate(text, "".join(LETTERS), "".join(LETTERS.values()))
-    for char, replacement in EXPANSIONS.items():
-        changed = F.replace(changed, F.lit(char), F.lit(replacement))
-    changed = F.regexp_replace(changed, COMBINING, "")
-    return F.when(text.rlike(r"[^\x00-\x7F]"), changed).otherwise(text)
+    plain = F.translate(text, "".join(LETTERS) + "".join(_GONE), "".join(LETTERS.values()))
+    one = f"[{''.join(_LONGER)}]"
+    table = F.create_map(*[F.lit(x) for pair in _LONGER.items() for x in pair])
+
+    def expanded(t: Column) -> Column:
+        pieces = F.split(t, f"(?<={one})|(?={one})")
+        return F.when(t.rlike(one), F.array_join(F.transform(pieces, lambda p: F.coalesce(F.element_at(table, p), p)), "")).otherwise(t)
 
+    return F.when(text.rlike(r"[^\x00-\x7F]"), bound(plain, expanded)).otherwise(text)

@@ -17,9 +17,16 @@ _in_block: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 def shared_folder(spark: SparkSession) -> str:
     """Folder for staged tables, shared by all executors.
 
-    ``spark.checkpoint.dir`` of the session, else a folder in its warehouse.
+    ``spark.checkpoint.dir`` of the session, else a folder in its warehouse, which has to
+    be a shared one where executors run on other machines.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staged"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staged"
+    if not spark.sparkContext.master.startswith("local") and qualified(spark, folder).startswith("file:"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share: the warehouse is on one machine")
+    return folder
 
 
 def _folder(spark: SparkSession, path: str):
@@ -39,6 +46,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tomewright/{uuid.uuid4().hex}/{name}"
 
 
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """A ``new_path`` in a folder of its own, which is deleted with all that is written there when the application ends."""
+    path = new_path(spark, name)
+    folder, system = _folder(spark, path.rpartition("/")[0])
+    system.mkdirs(folder)
+    system.deleteOnExit(folder)
+    return path
+
+
 def store(df: DataFrame, path: str | None = None, mode: str = "errorifexists") -> str:
     """Write a dataset and return its path; without a path a new one is chosen."""
     path = path or new_path(df.sparkSession, "artifact")
@@ -127,6 +143,15 @@ def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
     return load(spark, path)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Cache for several uses within one application; spills to disk."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """A dataset cached for several uses inside the block, spilling to disk; it is released when the block ends.
+
+    Results that leave the block must have been collected or written by then.  For what
+    is used again within seconds; ``staged`` is for what has to survive a lost executor.
+    """
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield cached
+    finally:
+        cached.unpersist()
