@@ -62,12 +62,19 @@ RDF = f"""concat(
 RDF_NAME = f"concat('pg', {_ID}, '.rdf')"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Partitions that a table is dealt into first.  The given tables are single files of one row group,
+# which one task would read and work on alone; none by default, the bench sets it.
+PARTS: int | None = None
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = rows.select(*columns) if columns else rows
+    return rows.repartition(PARTS) if PARTS else rows
 
 
 def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", *columns)
+    return table(spark, sf_dir, "documents", "doc_id", *columns)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -297,6 +297,8 @@ def _sql() -> dict[str, str]:
         from editions"""
     sql["counted_files"] = "select count(*) as n_files from documents"
     sql["scanned_metadata"] = f"""with {METADATA} select ebook_id, birth_year, n_subjects from ({RECORDS_OUT})"""
+    sql["stored_folder_metadata"] = f"""with {METADATA} select ebook_id, birth_year, n_subjects, (select count(*) from documents) as n_files
+        from ({RECORDS_OUT})"""
     sql["book_metadata"] = f"""with {METADATA} select r.ebook_id, birth_year, cast(place as integer) as place, subject_id, subject_txt
         from subjects s join records r on s.file_name = r.file_name"""
     sql["stored_metadata"] = f"with {METADATA} {RECORDS_OUT}"

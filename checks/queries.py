@@ -538,7 +538,7 @@ def counted_files(spark, sf):
     return files.count_files(spark, _written_books(spark, sf) + "/name=*")
 
 
-def _written_metadata(spark, sf):
+def written_metadata(spark, sf):
     """RDF files of all documents; written once per application."""
     place = (spark.sparkContext.applicationId, sf + "/rdf")
     if place not in _WRITTEN:
@@ -549,13 +549,27 @@ def _written_metadata(spark, sf):
 
 @query
 def scanned_metadata(spark, sf):
-    return _summary(metadata.metadata_files(spark, _written_metadata(spark, sf)))
+    return _summary(metadata.metadata_files(spark, written_metadata(spark, sf)))
+
+
+@query
+def stored_folder_metadata(spark, sf):
+    """Records of two folders of RDF files, listed and stored one after the other, and the number of their files."""
+    rdf = inputs.rdf_documents(spark, sf)
+    number = F.regexp_extract("file_name", "([0-9]+)", 1).cast("bigint")
+    folders = [
+        _write_each(rdf.where(F.pmod(number, F.lit(2)) == part).select(F.col("file_name").alias("name"), "xml"), "xml") for part in (0, 1)
+    ]
+    out = artifacts.temporary_path(spark, "metadata")
+    pipelines.stored_metadata(spark, folders[:1], out)
+    found = _summary(pipelines.stored_metadata(spark, folders, out))
+    return found.withColumn("n_files", F.lit(files.count_files_by_folder(spark, folders)).cast("bigint"))
 
 
 @query
 def book_metadata(spark, sf):
     """Subjects of scanned files, stored by the first call and loaded by the second."""
-    path, out = _written_metadata(spark, sf), artifacts.temporary_path(spark, "metadata")
+    path, out = written_metadata(spark, sf), artifacts.temporary_path(spark, "metadata")
     pipelines.book_metadata(spark, path, out)
     return _subject_rows(pipelines.book_metadata(spark, path, out), "ebook_id", "birth_year")
 

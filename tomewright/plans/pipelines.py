@@ -7,7 +7,7 @@ and split once; what moves between executors afterwards are counts, never texts.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,26 +25,36 @@ from tomewright.sources.metadata import metadata_files
 StopWords = Sequence[str] | DataFrame | None
 
 
-def stored_books(spark: SparkSession, folders: Sequence[str], out: str) -> DataFrame:
-    """Book files of some folders as one Parquet dataset at ``out``, for repeated use.
+def _stored_by_folder(spark: SparkSession, folders: Sequence[str], out: str, read: Callable[[str], DataFrame]) -> DataFrame:
+    """What ``read`` finds in some folders, as one Parquet dataset at ``out``.
 
     Every folder is listed and stored on its own, so the driver never holds the
     listing of a whole collection of small files, and a second call goes on with
     the folders that are not complete.  A part is named by a hash of its folder's
     full path, and the result has exactly the folders asked for, each once.
-    Nested folders are refused.  Texts are decoded by their declared charset.
+    Nested folders are refused.
     """
     paths = [qualified(spark, folder) for folder in folders]
     for one in paths:
         for other in paths:
             if one != other and one.startswith(other.rstrip("/") + "/"):
-                raise ValueError(f"{one} lies in {other}: its books would be stored twice")
+                raise ValueError(f"{one} lies in {other}: its files would be stored twice")
     parts = {path: f"{out.rstrip('/')}/folder_{hashlib.sha256(path.encode()).hexdigest()[:32]}" for path in paths}
     for path, part in parts.items():
-        read_or_build(spark, part, lambda path=path: src.book_files_by_charset(spark, path))
+        read_or_build(spark, part, lambda path=path: read(path))
     return spark.read.parquet(*parts.values())
 
 
+def stored_books(spark: SparkSession, folders: Sequence[str], out: str) -> DataFrame:
+    """Book files of some folders as one Parquet dataset at ``out``, for repeated use; texts are decoded by their declared charset."""
+    return _stored_by_folder(spark, folders, out, lambda path: src.book_files_by_charset(spark, path))
+
+
+def stored_metadata(spark: SparkSession, folders: Sequence[str], out: str) -> DataFrame:
+    """Metadata records of the RDF files of some folders as one Parquet dataset at ``out``."""
+    return _stored_by_folder(spark, folders, out, lambda path: metadata_files(spark, path))
+
+
 def book_profiles(
     files: DataFrame,
     book_format: BookFormat,

@@ -5,6 +5,8 @@ Whole-file rows: ``path, file_name, file_size, content``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,3 +126,8 @@ def count_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Number of files below ``path`` as ``n_files``; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path").agg(F.count("*").alias("n_files"))
+
+
+def count_files_by_folder(spark: SparkSession, folders: Sequence[str]) -> int:
+    """Number of files below all ``folders``, which are listed one after the other, so that no listing of all of them is ever whole."""
+    return sum(count_files(spark, folder).first()["n_files"] for folder in dict.fromkeys(folders))
