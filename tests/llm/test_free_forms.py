@@ -39,6 +39,16 @@ def test_language_corner_rows(spark):
     assert language.identified(docs.limit(0), model).count() == 0
 
 
+def test_thousands_of_languages(spark):
+    """The most frequent ones are learned; the others are no answer, but no obstacle."""
+    texts = [(i, f"{word} {word} {i}", lang) for lang, word in (("a", "aaa bbb"), ("b", "ccc ddd")) for i in range(30)]
+    rows = spark.createDataFrame([*texts, *[(k, f"zz {k}", f"l{k}") for k in range(3000)]], "doc_id long, text string, lang string")
+    model = language.train(rows, most_languages=2)
+    assert model.languages == ["a", "b"] and 0 < model.least_right <= 1
+    found = {r.lang_pred for r in language.identified(rows.where("lang = 'a'"), model).collect()}
+    assert found == {"a"}
+
+
 def test_temperature_lowers_the_loss():
     made = np.random.default_rng(3)
     labels = made.integers(0, 3, 400)

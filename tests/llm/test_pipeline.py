@@ -98,3 +98,19 @@ def test_stages_take_corner_rows(spark):
         if name != "source_mixing":
             assert out.dtypes == docs.dtypes, name
     assert pipeline.dedup_lines(spark, docs, SF).where("text is null").count() == 2
+
+
+def test_near_stage_goes_by_row(spark):
+    """Copies go also where ids repeat or are missing, and one row of each class stays."""
+    a, b = corner.prose(1, 80), corner.prose(2, 80)
+    rows = [(9, a), (9, a), (9, b), (5, b), (None, a), (None, b), (None, ""), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.text or "", r.source) for r in pipeline.drop_near_duplicates(spark, docs, SF).collect())
+    assert got == sorted([(5, b, "s3"), (7, "", "s7"), (9, a, "s0")])
+
+
+def test_language_stage_rejects_junk_and_keeps_clean_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    junk = spark.createDataFrame([(10**9, "12345 %%% 678", None, "x", 13), (10**9 + 1, None, None, "x", 0)], docs.schema)
+    kept = pipeline.identify_languages(spark, docs.unionByName(junk), "/root/testdata/sf0.01")
+    assert kept.where("doc_id >= 1000000000").count() == 0 and kept.count() >= 0.99 * docs.count()

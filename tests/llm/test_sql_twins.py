@@ -144,3 +144,13 @@ def test_contamination_in_blocks(spark, block_bytes):
                     names |= windows[tuple(w[s : s + n])]
         assert got[d][1] == sorted(names)
         assert {p for s, e in got[d][0] for p in range(s, e)} == hit
+
+
+def test_first_lines_are_streamed_from_sorted_ranges(spark):
+    """Sort, window and range partitioning are in the plan that runs, and nothing else is shuffled before it."""
+    rows = [(h, 0, d, p) for h in range(4) for d in range(5) for p in (7, 3, 5)]
+    hashed = spark.createDataFrame(rows, "h1 long, h2 long, doc_id long, place int")
+    first = lines.first_occurrences(hashed)
+    assert sorted(tuple(r) for r in first.collect()) == [(h, 0, d, 3) for h in range(4) for d in range(5)]
+    plan = first._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Window" in plan and "Sort" in plan and plan.count("Exchange") == 1 and "rangepartitioning" in plan and "Python" not in plan
