@@ -191,8 +191,9 @@ def contamination(
     fingerprints are extended to the windows around them, which are compared word by word.
 
     The benchmark is searched in blocks of about ``block_bytes`` of text, one
-    broadcast each, so that neither driver nor task holds more than one block at
-    a time however large it is; documents are read once and stay where they are.
+    broadcast each.  Each block passes through the driver by itself, but all broadcasts
+    stay alive together in the chained stages, so the benchmark as a whole should
+    be some tens of MB at most; documents are read once and stay where they are.
 
     Null texts have no words; a null item id counts as empty; items that repeat
     an id count once; repeated documents are judged one by one; no items mean no
