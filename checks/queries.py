@@ -467,7 +467,7 @@ def subject_labels(spark, sf):
 def _write_each(df: DataFrame, content: str) -> str:
     """One text file per document, in a folder of its own."""
     path = artifacts.temporary_path(df.sparkSession, "files")
-    df.select("name", content).write.partitionBy("name").text(path)
+    files.write_each(df, "name", content, path)
     return path
 
 

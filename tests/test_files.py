@@ -292,3 +292,17 @@ def test_learning_finds_a_clear_subject(spark):
     lasso = learn.birth_year_regression(vectors, records, penalties=(0.01,)).first()
     assert lasso.testing_rmse < 1 and lasso.n_training + lasso.n_testing == 80
     assert sum(r.label for r in subjects.subject_labels(vectors.select("doc_id"), records, 2).collect()) == 80
+
+
+def test_files_of_each_row_lie_as_sparks_writer_lays_them(spark, tmp_path):
+    rows = [("7", "one\ntwo"), ("7", "again"), (None, "no name"), ("", "empty name"), ("8", None), ("a/b%", "é"), ("9", "")]
+    df = spark.createDataFrame(rows, "name string, content string").coalesce(1)
+    df = df.unionAll(df.where("name = '9'"))
+    df.write.partitionBy("name").text(str(tmp_path / "spark"))
+    src.write_each(df, "name", "content", str(tmp_path / "own"))
+
+    def found(top):
+        return sorted((f.parent.name, f.read_bytes()) for f in (tmp_path / top).rglob("part-*"))
+
+    assert found("own") == found("spark") and len(found("own")) == 5
+    assert (tmp_path / "own" / "_SUCCESS").exists()

@@ -5,14 +5,20 @@ Whole-file rows: ``path, file_name, file_size, content``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import re
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewright import fixed_values as fv
 from tomewright.functions import header
 from tomewright.functions.binding import bound
+from tomewright.sources.artifacts import qualified
 
 
 def book_files(
@@ -131,3 +137,45 @@ def count_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def count_files_by_folder(spark: SparkSession, folders: Sequence[str]) -> int:
     """Number of files below all ``folders``, which are listed one after the other, so that no listing of all of them is ever whole."""
     return sum(count_files(spark, folder).first()["n_files"] for folder in dict.fromkeys(folders))
+
+
+def _folder_name(column: str, value: str | None) -> str:
+    """The folder that Spark's writers give a value of a partition column."""
+    escaped = re.sub(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""", lambda c: f"%{ord(c[0]):02X}", value or "")
+    return f"{column}={escaped or '__HIVE_DEFAULT_PARTITION__'}"
+
+
+def write_each(rows: DataFrame, name: str, content: str, path: str) -> None:
+    """Text files in folders by ``name``, which lie as ``partitionBy(name).text(path)`` lays them.
+
+    On a mounted file system, Spark's writer starts a process for the rights of every file and
+    renames all of them in the driver in the end, which takes far longer than the writing when nearly
+    every row has its own folder.  There, tasks write the files where they belong; one that is tried
+    again writes the same files.  Other file systems are left to Spark's writer.
+    """
+    full = qualified(rows.sparkSession, path)
+    if not full.startswith("file:"):
+        rows.select(name, content).write.partitionBy(name).text(path)
+        return
+    top, write = "/" + full.removeprefix("file:").lstrip("/"), uuid.uuid4()
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, out, files = f"part-{TaskContext.get().partitionId():05d}-{write}.txt", None, None, 0
+        for batch in batches:
+            for value, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                folder = f"{top}/{_folder_name(name, value)}"
+                if folder != last:
+                    if out:
+                        out.close()
+                    os.makedirs(folder, exist_ok=True)
+                    out, last, files = open(f"{folder}/{part}", "wb"), folder, files + 1
+                out.write(text.as_py() or b"")
+                out.write(b"\n")
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([files])], ["n"])
+
+    os.makedirs(top)
+    sorted_rows = rows.select(F.nullif(name, F.lit("")).alias(name), F.col(content).cast("binary")).sortWithinPartitions(name)
+    sorted_rows.mapInArrow(written, "n long").agg(F.sum("n")).collect()
+    open(f"{top}/_SUCCESS", "wb").close()
