@@ -155,3 +155,21 @@ def test_work_is_measured(spark):
         spark.range(200_000).repartition(3).groupBy((F.col("id") % 1000).alias("k")).count().orderBy("count").collect()
     assert work["seconds"] > 0 and work["task_seconds"] > 0 and work["peak_task_bytes"] > 0
     assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+
+
+def test_rows_of_many_files_are_not_dealt_again(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    for n, dealt in ((2 * cores, False), (1, True)):
+        path = str(tmp_path / str(n))
+        made = spark.range(0, 2 * cores, 1, n).select(F.col("id").cast("string").alias("doc_id"), F.lit(None).cast(ex.VECTOR).alias("features"))
+        made.write.parquet(path)
+        rows = spark.read.parquet(path)
+        asked = []
+        frame = type(rows)
+        plain = frame.repartition
+        frame.repartition = lambda self, *a: asked.append(a) or plain(self, *a)
+        try:
+            assert learn.stored_rows(rows).count() == 2 * cores
+        finally:
+            frame.repartition = plain
+        assert bool(asked) == dealt

@@ -243,3 +243,23 @@ def test_large_sides_are_sort_merged(spark, profile):
 def test_column_pruning_reaches_the_scan(spark, profile):
     assert "ReadSchema: struct<terms:array<struct<term:string>>>" in plan_of(wt.document_frequency(profile))
     assert "ReadSchema: struct<>" in plan_of(wt.document_count(profile))
+
+
+def test_terms_of_several_parts_move_before_they_are_dealt_to_buckets(spark, profile):
+    plan = plan_of(vec.hash_cells(profile, (10, 100, 1000)))
+    # From the top down: one shuffle of terms by document, below the generator of the buckets.
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+    generator = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert len(generator) == 1 and plan.index(generator[0]) < plan.index("Exchange hashpartitioning"), plan
+
+
+def test_only_what_is_asked_for_is_written_beside_a_large_vocabulary(spark, profile):
+    words = staged(wt.vocabulary(profile), "vocabulary")
+    split = wt.with_vocabulary(wt.term_frequency(profile), words, broadcast_bytes=0, keep=["doc_id", "tf", "idf"])
+    plain = wt.term_frequency(profile).join(words, "term")
+    assert split.columns == ["doc_id", "tf", "idf"]
+    assert rows(split, "doc_id", "tf", "idf") == rows(plain, "doc_id", "tf", "idf")
+    marked = split.where("tf > 0").inputFiles()
+    written = [spark.read.parquet(f) for f in marked if "/marked" in f]
+    found = [r for df in written for r in df.where("_word is not null").limit(5).collect()]
+    assert found and all(r.term is None and set(r.asDict()) == {"term", "doc_id", "tf", "_word"} for r in found)
