@@ -81,6 +81,32 @@ def test_lassos_are_those_of_the_library(spark, numbers, rows):
                 assert r.correlation == pytest.approx(penalty * np.sign(scaled[bucket, p]), abs=1e-6)
 
 
+def test_lasso_products_stay_in_tasks(spark, numbers, rows, monkeypatch):
+    years = spark.createDataFrame([(str(i), [float(v)]) for i, v in enumerate(numbers[2])], "doc_id string, labels array<double>")
+    own = learn.stored_rows(rows.drop("labels").join(years, "doc_id"))
+    monkeypatch.setattr(linear, "TASK_PRODUCTS", 3 * D)
+    lassos = linear.Lassos(own, (0.05,))
+    active = np.array([0, 2, 3, 5, 7, 8, 11])
+    parts = {r["slice"]: np.frombuffer(r["part"]) for r in lassos.products(active).collect()}
+    kept = [int(r.doc_id) for r in own.where("not testing").select("doc_id").collect()]
+    x, y = numbers[0][kept][:, active], numbers[2][kept]
+    assert sorted(parts) == list(range(8)) and np.allclose(parts[7], x.T @ (y - y.mean()))
+    assert all(np.allclose(parts[k], (x.T @ x)[k, k:]) for k in range(7))
+    few = lassos.fit()
+    monkeypatch.undo()
+    assert np.allclose(few, lassos.fit())
+
+
+def test_lasso_of_nearly_equal_features():
+    made = np.random.default_rng(1)
+    x = made.normal(size=(300, 3))[:, [0] * 40 + [1] * 40 + [2] * 40] + made.normal(size=(300, 120)) * 0.01
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+    products, aims = x.T @ x / 300, x.T @ (x @ made.normal(size=120) + made.normal(size=300)) / 300
+    w = linear._shrunk(products, aims, 0.001, np.zeros(120))
+    left = aims - products @ w
+    assert np.abs(left).max() < 0.001 + 1e-7 and np.abs(left[w != 0] - 0.001 * np.sign(w[w != 0])).max() < 1e-7
+
+
 def plain_tree(x, y, node, depth, splits):
     """Splits of one tree in heap order, by trying every bucket and edge."""
     n, p = len(y), y.sum()
