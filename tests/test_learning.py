@@ -1,6 +1,7 @@
 """Classifiers and regressions of many models at once, against MLlib and plain computations."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.linalg import Vectors
@@ -144,6 +145,32 @@ def test_trees_are_those_of_all_splits(numbers, rows, stored):
         assert got == splits
 
 
+def test_tree_counts_are_handed_on_a_tree_at_a_time(stored, monkeypatch):
+    monkeypatch.setattr(trees, "KEPT", 100)
+    forest = trees.grow(stored, K, range(3), 2)
+    taken = ex.filled(stored, "labels", "testing", "fold").toArrow().to_batches()
+    taken = pa.Table.from_batches(taken).combine_chunks().to_batches()
+    got = list(trees._level_counts(forest, 0, D)(iter(taken)))
+    # All rows come as one batch and more than a hundred cells: still no more than the counts of one tree at a time.
+    assert len(got) >= len(forest.subject) and max(b.num_rows for b in got) <= D * len(trees.EDGES)
+    monkeypatch.undo()
+    again = trees.grow(stored, K, range(3), 2)
+    assert all((getattr(forest, name) == getattr(again, name)).all() for name in ("bucket", "edge", "count", "positive"))
+
+
+def test_rows_as_matrices_give_the_same_products(stored, monkeypatch):
+    batch = pa.Table.from_batches(ex.filled(stored, "labels", "testing", "fold").toArrow().to_batches()).combine_chunks().to_batches()[0]
+    weights, out = np.random.default_rng(2).normal(size=(D, 4)), {}
+    for most in (0, 60):
+        monkeypatch.setattr(ex, "MOST_ZEROS", most)
+        (_, block), = ex.blocks(batch)
+        assert (block.dense is None) == (most == 0)
+        total = np.zeros((D, 4))
+        block.turned(block.times(weights), total)
+        out[most] = block.times(weights), total
+    assert np.allclose(out[0][0], out[60][0]) and np.allclose(out[0][1], out[60][1])
+
+
 def test_predictions_and_errors(stored):
     names = ["a", "b", "c"]
     found = learn.subject_predictions(stored, names)
