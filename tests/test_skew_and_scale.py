@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import inputs, queries
+from tomewright.functions import words
 from tomewright.operators import extract, postings as index, profiles as pf, sampling, vectors as vec, weights as wt
 from tomewright.sources.artifacts import staged
 
@@ -263,3 +264,14 @@ def test_only_what_is_asked_for_is_written_beside_a_large_vocabulary(spark, prof
     written = [spark.read.parquet(f) for f in marked if "/marked" in f]
     found = [r for df in written for r in df.where("_word is not null").limit(5).collect()]
     assert found and all(r.term is None and set(r.asDict()) == {"term", "doc_id", "tf", "_word"} for r in found)
+
+
+def test_run_lengths_index_the_words_once_a_step(spark):
+    found = spark.sql("select array('a', 'b', 'b', '', 'a') as words, 1 as id union all select array(), 2 union all select null, 3")
+    found = found.select("id", words.runs(F.sort_array("words")).alias("runs"))
+    assert {r.id: None if r.runs is None else [tuple(x) for x in r.runs] for r in found.collect()} == {
+        1: [("", 1), ("a", 2), ("b", 2)], 2: [], 3: []
+    }
+    # Terms and lengths of a document are put together by one expression, not a struct at a time.
+    plan = plan_of(pf.profiles(inputs.documents(spark, SF)).select("terms"))
+    assert plan.count("arrays_zip") == 1 and "struct(term" not in plan, plan

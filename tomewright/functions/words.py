@@ -15,7 +15,7 @@ TERMS_TYPE = "array<struct<term:string,n:bigint>>"
 
 def unicode_words(text: Column) -> Column:
     """Array of words: runs of letters, numbers and ``_`` of any script."""
-    return F.filter(F.split(text, fv.UNICODE_SEPARATOR), lambda w: w != "")
+    return F.array_remove(F.split(text, fv.UNICODE_SEPARATOR), "")
 
 
 def ascii_words(text: Column) -> Column:
@@ -34,7 +34,7 @@ def singular(word: Column) -> Column:
 
 def singulars(words: Column) -> Column:
     """``singular`` for an array of words."""
-    return F.transform(F.transform(words, F.lower), without_final_s)
+    return F.transform(words, singular)
 
 
 def drop_listed(words: Column, stop_words: Sequence[str], ignore_case: bool = False) -> Column:
@@ -56,20 +56,16 @@ def runs(sorted_words: Column) -> Column:
     """Run lengths of a sorted array: ``array<struct<term, n>>`` ordered by term."""
 
     def count(words: Column) -> Column:
+        # The k-th word from 0 ends a run if the next one differs; behind the last there is null.
+        last = F.filter(words, lambda word, k: ~word.eqNullSafe(F.get(words, k + 1)))
         ends = F.filter(
-            F.sequence(F.lit(1), F.size(words)),
-            lambda i: (i == F.size(words)) | (words[i - 1] != words[i]),
+            F.sequence(F.lit(1), F.size(words)), lambda i, k: ~F.get(words, k).eqNullSafe(F.get(words, i))
         )
-        return bound(
+        lengths = bound(
             ends,
-            lambda e: F.transform(
-                e,
-                lambda end, k: F.struct(
-                    words[end - 1].alias("term"),
-                    (end - F.when(k == 0, 0).otherwise(e[k - 1])).cast("bigint").alias("n"),
-                ),
-            ),
+            lambda e: F.transform(e, lambda end, k: (end - F.coalesce(F.get(e, k - 1), F.lit(0))).cast("bigint")),
         )
+        return F.arrays_zip(last.alias("term"), lengths.alias("n"))
 
     # sequence(1, 0) would count downwards, so an empty array has its own branch.
     return bound(

@@ -73,7 +73,7 @@ def _with_max(rows: DataFrame, keep: Sequence[str], terms: Column, drop_empty: b
     profile = F.transform(
         F.array(terms),
         lambda t: F.struct(
-            F.array_max(F.transform(t, lambda x: x["n"])).alias("max_n"),
+            F.array_max(t["n"]).alias("max_n"),
             t.alias("terms"),
         ),
     )
