@@ -266,6 +266,24 @@ def test_only_what_is_asked_for_is_written_beside_a_large_vocabulary(spark, prof
     assert found and all(r.term is None and set(r.asDict()) == {"term", "doc_id", "tf", "_word"} for r in found)
 
 
+def test_a_short_stop_list_given_as_a_table_does_not_move_the_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "The cats of Er"), (1, "er"), (2, "the"), (3, None)], "doc_id bigint, text string")
+    stop = spark.createDataFrame([("the",), ("Er",), ("of",), (None,), ("the",)], "word string")
+    for ignore_case, terms in ((False, {(1, "cat", 1), (1, "er", 1)}), (True, {(1, "cat", 1)})):
+        probed = pf.profiles(docs, stop_words=stop, ignore_case=ignore_case)
+        plan = plan_of(probed)
+        assert "Exchange" not in plan and "Join" not in plan, plan
+        with monkeypatch.context() as m:
+            m.setattr(pf, "PROBED_WORDS", 0)
+            joined = pf.profiles(docs, stop_words=stop, ignore_case=ignore_case)
+        assert "Join" in plan_of(joined)
+        for found in (probed, joined):
+            assert {tuple(r) for r in pf.term_counts(found).collect()} == terms
+    with monkeypatch.context() as m:
+        m.setattr(pf, "PROBED_BYTES", 3)
+        assert "Join" in plan_of(pf.profiles(docs, stop_words=stop))
+
+
 def test_run_lengths_index_the_words_once_a_step(spark):
     found = spark.sql("select array('a', 'b', 'b', '', 'a') as words, 1 as id union all select array(), 2 union all select null, 3")
     found = found.select("id", words.runs(F.sort_array("words")).alias("runs"))

@@ -19,6 +19,10 @@ from tomewright.functions.binding import rows_of
 from tomewright.functions.latin import to_ascii
 from tomewright.sources.artifacts import staged
 
+# A list given as a table is probed inside each row, like a sequence, up to this many words and bytes; a longer one is joined.
+PROBED_WORDS = 500
+PROBED_BYTES = 16 << 10
+
 
 def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", ascii_only: bool = False) -> DataFrame:
     """Tidy tokens ``key, raw, term``, one row per word occurrence."""
@@ -52,10 +56,16 @@ def profiles(
 
     ``stop_words`` is a sequence for a list that fits a plan (some hundred words),
     probed inside each row, or a DataFrame with the column ``word`` for a list of
-    any length, which is joined.  Both give the same rows.
+    any length.  That is written and measured: a short one is probed inside each row
+    too, so its rows do not move, and a longer one is joined.  All give the same rows.
     """
     source = to_ascii(F.col(text)) if transliterate else F.col(text)
     raw = (w.ascii_words if ascii_only else w.unicode_words)(source)
+    if isinstance(stop_words, DataFrame):
+        word = F.lower("word") if ignore_case else F.col("word")
+        stop_words = staged(stop_words.select(word.alias("word")).distinct(), "stop_words")
+        short = _short_list(stop_words)
+        stop_words = stop_words if short is None else short
     if isinstance(stop_words, DataFrame):
         return _with_joined_list(
             docs, [key, *carry], w.runs(F.sort_array(raw)), stop_words, stop_raw, ignore_case, min_term_len, drop_empty
@@ -81,20 +91,26 @@ def _with_max(rows: DataFrame, keep: Sequence[str], terms: Column, drop_empty: b
     return rows_of(rows, profile, *keep, required="max_n" if drop_empty else "terms")
 
 
+def _short_list(stop: DataFrame) -> list[str] | None:
+    """The words of a written list that fits a plan, else none."""
+    size = stop.agg(F.count("word").alias("words"), F.sum(F.octet_length("word")).alias("bytes")).first()
+    if size.words > PROBED_WORDS or (size.bytes or 0) > PROBED_BYTES:
+        return None
+    return [row.word for row in stop.where(F.col("word").isNotNull()).collect()]
+
+
 def _with_joined_list(
-    docs: DataFrame, keep: list[str], raw_terms: Column, stop_words: DataFrame,
+    docs: DataFrame, keep: list[str], raw_terms: Column, stop: DataFrame,
     stop_raw: bool, ignore_case: bool, min_term_len: int, drop_empty: bool,
 ) -> DataFrame:
-    """Profiles after a stop list of any length.
+    """Profiles after a stop list of any length, a written table.
 
     Words are counted inside the row first, so a frequent word reaches the join
     once per row.  Those counts are written with a number for each row, which the
-    regrouping uses; the list is written too, so that Spark knows its size:
-    a small one is broadcast, a long one joined by a shuffle that adaptive
-    execution can split where words are skewed.
+    regrouping uses.  Spark knows the size of the list: a small one is broadcast,
+    a long one joined by a shuffle that adaptive execution can split where words
+    are skewed.
     """
-    word = F.lower("word") if ignore_case else F.col("word")
-    stop = staged(stop_words.select(word.alias("word")).distinct(), "stop_words")
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
     raw = staged(_with_max(numbered, ["_row", *keep], raw_terms, drop_empty=False).drop("max_n"), "raw_counts")
     rows = raw.select("_row", F.inline("terms")).withColumnRenamed("term", "raw")
