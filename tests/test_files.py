@@ -3,10 +3,11 @@
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_pins import FORMAT, book
 from tomewright import DEFAULT_RULES
-from tomewright.operators import learn, subjects
+from tomewright.operators import learn, profiles, subjects
 from tomewright.plans import pipelines
 from tomewright.sources import artifacts, files as src, metadata
 
@@ -272,6 +273,23 @@ def test_file_index_merges_equal_names(spark, tree):
     assert got == {"cat": (2, [("f.txt", 2), ("g.txt", 1)]), "dog": (1, [("f.txt", 1)])}
 
 
+def test_file_index_moves_only_the_counts_of_shared_names(spark, monkeypatch):
+    rows = [("x/f", "f", "cats dog"), ("y/f", "f", "cat"), ("y/g", "g", "cat"), ("z", None, "dog"), ("z", None, "dogs"), ("e", "h", None)]
+    files = spark.createDataFrame(rows, "path string, file_name string, content string")
+    summed = []
+
+    def merged(profile, key):
+        summed.append(sorted((r.file_name or "", r.terms) for r in profile.collect()))
+        return profiles.merged(profile, key)
+
+    monkeypatch.setattr(pipelines, "merged", merged)
+    found = pipelines.file_index(files, 10).select("term", "df", F.inline("postings")).collect()
+    assert sorted((r.term, r.df, r.file_name or "", r.n) for r in found) == [
+        ("cat", 2, "f", 2), ("cat", 2, "g", 1), ("dog", 2, "", 2), ("dog", 2, "f", 1)
+    ]
+    assert [name for name, _ in summed[0]] == ["", "", "f", "f"]
+
+
 def test_learning_finds_a_clear_subject(spark):
     from pyspark.ml.linalg import Vectors
 

@@ -16,7 +16,7 @@ from tomewright import fixed_values as fv
 from tomewright.functions.header import BookFormat, HeaderRules
 from tomewright.operators import extract
 from tomewright.operators.postings import merged_postings, posting_lists
-from tomewright.operators.profiles import merged, profiles
+from tomewright.operators.profiles import merged, profiles, term_counts
 from tomewright.operators.vectors import hash_cells, load_vectors, vector_rows
 from tomewright.sources import files as src
 from tomewright.sources.artifacts import qualified, read_or_build, staged
@@ -139,5 +139,11 @@ def file_index(files: DataFrame, block: int, stop_words: StopWords = None) -> Da
     counted = profiles(
         files, "path", "content", carry=["file_name"], ascii_only=True, stop_words=stop_words, stop_raw=False
     )
-    by_name = staged(merged(counted, "file_name"), "counts")
+    counted = staged(counted.select("file_name", "terms"), "profiles")
+    # Only names that several files share are summed by a shuffle; the counts of the others are ready in their row.
+    shared = counted.groupBy("file_name").count().where(F.col("count") > 1).select(F.col("file_name").alias("shared_name"))
+    shared = staged(shared, "shared_names")
+    same = F.col("file_name").eqNullSafe(F.col("shared_name"))
+    several = staged(merged(counted.join(shared, same, "left_semi"), "file_name"), "counts")
+    by_name = term_counts(counted.join(shared, same, "left_anti"), "file_name").unionByName(several)
     return posting_lists(merged_postings(by_name, "file_name"), block, "file_name")
