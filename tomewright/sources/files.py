@@ -19,6 +19,18 @@ from tomewright import fixed_values as fv
 from tomewright.functions import header
 from tomewright.functions.binding import bound
 from tomewright.sources.artifacts import qualified
+from tomewright.sources.listing import files_in_tasks, plain, uri
+
+
+FILE_ROWS = "path string, file_name string, file_size bigint, content binary"
+
+
+def _uri_row(path: str, size: int, content: bytes) -> list[tuple]:
+    return [("file:" + uri(path), uri(path.rpartition("/")[2]), size, plain(path, content))]
+
+
+def _path_row(path: str, size: int, content: bytes) -> list[tuple]:
+    return [("file:" + path, uri(path.rpartition("/")[2]), size, content)]
 
 
 def book_files(
@@ -31,7 +43,11 @@ def book_files(
 
     ``smaller_than`` is a strict size limit in bytes; it is a predicate on file
     metadata, so larger files are never opened.  Hidden files are not listed.
+    More than ``listing.DRIVER_LISTS`` files on a mounted file system are listed and read by tasks.
     """
+    found = files_in_tasks(spark, path, FILE_ROWS, _uri_row, recursive, smaller_than)
+    if found is not None:
+        return found.withColumn("content", F.col("content").cast("string"))
     reader = spark.read.option("recursiveFileLookup", recursive)
     files = reader.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"),
@@ -68,6 +84,9 @@ def book_files_by_charset(
     ISO-8859-1 maps every byte, so the header is readable before the charset is
     known.  Files without a known declaration are read as UTF-8.
     """
+    found = files_in_tasks(spark, path, FILE_ROWS, _path_row, recursive, smaller_than)
+    if found is not None:
+        return found.withColumn("content", decoded(F.col("content")))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
     if smaller_than is not None:
         files = files.where(F.col("length") < smaller_than)
@@ -130,6 +149,9 @@ def stop_words_of(lines: DataFrame) -> DataFrame:
 
 def count_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Number of files below ``path`` as ``n_files``; contents are not read."""
+    files = files_in_tasks(spark, path, "file_size bigint", lambda path, size, content: [(size,)], reads=False)
+    if files is not None:
+        return files.agg(F.count("*").alias("n_files"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path").agg(F.count("*").alias("n_files"))
 
