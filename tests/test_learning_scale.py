@@ -1,13 +1,17 @@
 """What the passes of trees and regressions move and read."""
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries
 from tests.test_learning import D, K, numbers, rows, stored  # noqa: F401
 from tomewright.operators import examples as ex
 from tomewright.operators import linear, trees
+from tomewright.sources import artifacts
 
 
 @pytest.fixture()
@@ -60,3 +64,26 @@ def test_blocks_hold_a_bounded_number_of_rows():
     columns = [pa.array([[1.0]] * n), pa.array([False] * n), pa.array([0] * n, pa.int32()), one, pa.array([[0.5]] * n)]
     found = [block for _, block in ex.blocks(pa.RecordBatch.from_arrays(columns, ["labels", "testing", "fold", "indices", "values"]), most)]
     assert max(block.rows for block in found) <= 101 and sum(block.rows for block in found) == n
+
+
+def test_tables_read_for_the_last_time_are_deleted(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "own"))
+    own, table = artifacts.load(spark, str(tmp_path / "own")), artifacts.staged(spark.range(5), "numbers")
+    place = table.inputFiles()[0].rpartition("/")[0]
+    assert artifacts.is_complete(spark, place)
+    artifacts.discard(table.join(own, "id", "left"))
+    assert not artifacts.is_complete(spark, place) and own.count() == 3
+
+
+def test_vectors_of_pairs_are_not_kept_twice(spark, monkeypatch):
+    left, plain = [], artifacts.discard
+
+    def seen(df):
+        files = df.inputFiles()
+        plain(df)
+        left.append([os.path.exists(file.removeprefix("file://")) for file in files])
+
+    monkeypatch.setattr(artifacts, "discard", seen)
+    assert queries.double_hash_pairs(spark, "/root/testdata/sf0.001").count() == 10
+    # Vectors and labelled rows of both sets.
+    assert len(left) == 4 and all(left) and not any(map(any, left))
